@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -15,6 +15,20 @@ DOMAIN_WEIGHTS = {"group0": 4, "group1": 3, "group2": 2}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
 
+def held_out() -> Column:
+    """Whether a document is kept from learning: its id's checksum leaves 1 by 3."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out()))
+    predicted = identify(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cost")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -40,6 +54,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *names)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _share_sql(level: str, source: str, parent: str) -> str:
     """SQL of one level of the tree: the children of each parent share its budget."""
     by = f"PARTITION BY {parent}" if parent else ""
@@ -89,7 +109,12 @@ SELECT doc_id, mix_domain, mix_lang, mix_source, mix_tokens, mix_budget, copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op7_mixing": op7_mixing}
+    return {
+        "op3_langid": op3_langid,
+        "op5_sharding": op5_sharding,
+        "op7_mixing": op7_mixing,
+        "op9_decontamination": op9_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
