@@ -15,6 +15,13 @@ DOMAIN_WEIGHTS = {"group0": 4, "group1": 3, "group2": 2}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    groups = similar_groups(table(spark, sf_dir, "documents"), words=4, similarity=(85, 100))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def held_out() -> Column:
     """Whether a document is kept from learning: its id's checksum leaves 1 by 3."""
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
@@ -110,6 +117,7 @@ SELECT doc_id, mix_domain, mix_lang, mix_source, mix_tokens, mix_budget, copies
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op3_langid": op3_langid,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
