@@ -36,6 +36,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cost")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -61,6 +67,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *names)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return conversation_digests(turns.unionByName(extra))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -119,8 +134,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_join": op2_ngram_join,
         "op3_langid": op3_langid,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
+        "op8_chat_format": op8_chat_format,
         "op9_decontamination": op9_decontamination,
     }
 
