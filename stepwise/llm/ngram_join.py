@@ -1,20 +1,26 @@
 """Exact n-gram Jaccard self-join with PartEnum signatures, as connected groups of documents.
 
-1. Every text becomes its set of shingles and a digest of it; equal sets are one set from here on.
-2. Every set is dealt out by its signatures.  In a bucket (the sets of one signature) each set is
-   linked on trial with the bucket's first set, and trials are verified on the whole sets.
-3. Buckets whose sets are in one group now need no more work.  In the others all pairs of different
-   groups are compared, in blocks of bounded size, so a large bucket is spread over many tasks and
-   only links that join two groups leave a task.
-4. The verified links give the groups.
-
-Two sets that are similar share a bucket, and step 3 compares them unless they are already joined,
-so no link between groups is lost.
+1. Every text becomes its set of shingles, a digest of it and a parity sketch; equal sets are one set
+   from here on.
+2. Every set is dealt out by its signatures.  The sets of one signature form a bucket; of buckets with
+   the same sets one is kept.
+3. In each bucket the sketches are compared.  A sketch has a bit for each cell of the hashed domain,
+   the parity of the set's elements there, so two sets differ in at least as many elements as their
+   sketches in bits; pairs that differ too much are no links.  The others give families of sets, and
+   every link joins two sets of one family.
+4. The whole sets of each family meet: first all with the family's first set, then those without a
+   link to it with all others.
+5. The verified links give the groups.
+
+Large buckets and families are cut into blocks of bounded size, and every pair of blocks is a unit of
+work of its own; only links that join two groups leave a unit.  Two similar sets share a bucket, their
+sketches pass, and step 4 compares them unless they are already joined, so no link between groups is
+lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shuffle_width
 from .graph import connected_components
 from .partenum import signatures
-from .shingles import set_key, shingle_sets
+from .shingles import mix, set_key, shingle_sets
 
-#: Sets of a bucket that are compared with one another in one task: at most two blocks of so many.
-BLOCK = 96
+#: Sets that meet in one unit of work: at most two blocks of so many.
+BLOCK = 512
 #: A table of at most so many keys is broadcast.
 BROADCAST_KEYS = 1_000_000
 #: Texts hashed at once, in bytes, and keys that a task remembers in order not to repeat itself.
@@ -40,19 +46,33 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _keys(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, key, n) of each row of ``docs`` (_id, _text)."""
+def sketch(items: np.ndarray, num: int, den: int) -> bytes:
+    """The parity sketch of a set, of about eight bits for each element that a similar set may lack."""
+    bits = 256
+    while bits < 16_384 and bits < 8 * len(items) * 2 * (den - num) // (den + num):
+        bits *= 2
+    cells = (mix(items ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _fold(words: np.ndarray, length: int) -> np.ndarray:
+    """A sketch (bits) as one of fewer cells: cells that are equal modulo the length are added up."""
+    return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
+
+
+def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(_id, key, n, sketch) of each row of ``docs`` (_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
                 sets = shingle_sets(part.column(1), words)
                 keys = pa.array([set_key(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), keys, pa.array([len(s) for s in sets], pa.int64())], names=["_id", "key", "n"]
-                )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                sketches = pa.array([sketch(s, num, den) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, sizes, sketches], names=["_id", "key", "n", "sketch"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, key long, n long")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, key long, n long, sketch binary")
 
 
 def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -78,7 +98,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _bucketed(signed: DataFrame) -> DataFrame:
-    """(sign, key, center): the buckets of at least two sets; ``center`` is a bucket's smallest key.
+    """(sign, key): the buckets of at least two sets.
 
     The rows arrive sorted and pass as a stream; of a bucket only the first and the last key are held.
     """
@@ -100,24 +120,24 @@ def _bucketed(signed: DataFrame) -> DataFrame:
             fresh[0] |= k[0] != last
             heads = np.flatnonzero(new)
             nth = np.searchsorted(heads, np.arange(len(s)), side="right") - 1
-            centers = np.where(nth >= 0, k[heads[np.maximum(nth, 0)]] if len(heads) else 0, center if center is not None else 0)
             others = fresh & ~new
-            out_s, out_k, out_c = s[others], k[others], centers[others]
+            out_s, out_k = s[others], k[others]
             # a bucket's first set is given when its second one is seen
             firsts = np.unique(nth[others])
             if len(firsts) and firsts[0] < 0:
                 if not told:
-                    out_s, out_k, out_c = np.append(out_s, sign), np.append(out_k, center), np.append(out_c, center)
+                    out_s, out_k = np.append(out_s, sign), np.append(out_k, center)
                 firsts = firsts[1:]
             at = heads[firsts] if len(firsts) else np.zeros(0, dtype=np.int64)
-            out_s, out_k, out_c = np.append(out_s, s[at]), np.append(out_k, k[at]), np.append(out_c, k[at])
+            out_s, out_k = np.append(out_s, s[at]), np.append(out_k, k[at])
             told = bool(others[heads[-1] :].any()) if len(heads) else told or bool(others.any())
-            sign, center, last = s[-1], centers[-1], k[-1]
+            center = k[heads[-1]] if len(heads) else center
+            sign, last = s[-1], k[-1]
             if len(out_s):
-                columns = [pa.array(c.astype(np.int64)) for c in (out_s, out_k, out_c)]
-                yield pa.RecordBatch.from_arrays(columns, names=["sign", "key", "center"])
+                columns = [pa.array(c.astype(np.int64)) for c in (out_s, out_k)]
+                yield pa.RecordBatch.from_arrays(columns, names=["sign", "key"])
 
-    return ordered.mapInArrow(run, "sign long, key long, center long")
+    return ordered.mapInArrow(run, "sign long, key long")
 
 
 def _similar(a: str, b: str, num: int, den: int) -> Column:
@@ -145,79 +165,139 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "key long, items array<long>").dropDuplicates(["key"])
 
 
-def _joining_links(keys: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], halves: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets of different groups and (if there are two) different halves; after a link
-    its two groups count as one."""
+def _join(i: int, linked: np.ndarray, rest: np.ndarray, keys: np.ndarray, groups: np.ndarray, links: list) -> None:
+    """Note the links of set ``i`` that join two groups, which then count as one."""
+    for j in np.flatnonzero(rest & linked):
+        if groups[j] != groups[i]:
+            links.append((int(keys[i]), int(keys[j])))
+            groups[groups == groups[j]] = groups[i]
+
+
+def _others(i: int, groups: np.ndarray, halves: np.ndarray, two: bool) -> np.ndarray | None:
+    """The sets that set ``i`` meets: of another group and, in a unit of two blocks, of the second one."""
+    if two and halves[i]:
+        return None
+    rest = groups != groups[i]
+    rest &= (halves == 1) if two else (np.arange(len(groups)) > i)
+    return rest if rest.any() else None
+
+
+def _sketch_links(keys: np.ndarray, groups: np.ndarray, halves: np.ndarray, sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> list:
+    length = min(map(len, sketches))
+    bits = np.stack([_fold(np.frombuffer(s, dtype=np.uint8), length) for s in sketches]).view(np.uint64)
+    two, links = halves.min() != halves.max(), []
+    for i in range(len(keys)):
+        if (rest := _others(i, groups, halves, two)) is not None:
+            apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
+            _join(i, apart <= (sizes + sizes[i]) * (den - num) // (den + num), rest, keys, groups, links)
+    return links
+
+
+def _set_links(keys: np.ndarray, groups: np.ndarray, halves: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list:
     sizes = np.array([len(s) for s in sets])
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     bounds = np.cumsum(sizes)
-    present = np.zeros(int(place.max()) + 1 if len(place) else 0, dtype=bool)
-    two = halves.min() != halves.max()
-    links = []
-    for i in range(len(sets)):
-        if two and halves[i]:
-            continue
-        rest = groups != groups[i]
-        rest &= (halves == 1) if two else (np.arange(len(sets)) > i)
-        if not rest.any():
-            continue
-        mine = place[bounds[i] - sizes[i] : bounds[i]]
-        present[mine] = True
-        shared = np.bincount(owner, weights=present[place], minlength=len(sets)).astype(np.int64)
-        present[mine] = False
-        for j in np.flatnonzero(rest & (shared * den >= (sizes + sizes[i] - shared) * num)):
-            if groups[j] != groups[i]:
-                links.append((int(keys[i]), int(keys[j])))
-                groups[groups == groups[j]] = groups[i]
+    present = np.zeros(int(place.max()) + 1, dtype=bool)
+    two, links = halves.min() != halves.max(), []
+    for i in range(len(keys)):
+        if (rest := _others(i, groups, halves, two)) is not None:
+            mine = place[bounds[i] - sizes[i] : bounds[i]]
+            present[mine] = True
+            shared = np.bincount(owner, weights=present[place], minlength=len(sets)).astype(np.int64)
+            present[mine] = False
+            _join(i, shared * den >= (sizes + sizes[i] - shared) * num, rest, keys, groups, links)
     return links
 
 
-def _residual(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links inside the buckets of ``mixed`` (sign, key, group, n_sets, items) that join groups."""
-    blocks = F.ceil(F.col("n_sets") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key", "sign"), F.col("blocks")).cast("int")
-    dealt = (
-        mixed.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "sign",
-            F.least("own", "other").alias("one"),
-            F.greatest("own", "other").alias("two"),
-            (F.col("own") > F.col("other")).cast("int").alias("half"),
-            "key",
-            "group",
-            "items",
-        )
-    )
-    unit = ["sign", "one", "two"]
-    ordered = dealt.repartition(shuffle_width(mixed.sparkSession), *unit).sortWithinPartitions(*unit)
+def _units(rows: DataFrame, payload: list[str], links_of: Callable[[list[list]], list]) -> DataFrame:
+    """(a, b): what ``links_of`` returns for each unit of ``rows`` (unit, half, then ``payload``).
+
+    The units arrive one after the other; one unit is held at a time, and its size is bounded.
+    """
+    ordered = rows.select("unit", "half", *payload).repartition(shuffle_width(rows.sparkSession), "unit")
+    ordered = ordered.sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        unit_now = None
+        held: list[list] = []
+        now = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                keys, groups, halves = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2))
-                links = _joining_links(keys, groups, [r[3] for r in held], halves, num, den)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+            links = links_of(held) if len(held) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
             held.clear()
 
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(6)]
-            for row, items in enumerate(batch.column(6)):
-                if (unit := (columns[0][row], columns[1][row], columns[2][row])) != unit_now:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            for row, unit in enumerate(batch.column(0).to_pylist()):
+                if unit != now:
                     yield from done()
-                    unit_now = unit
-                held.append((columns[4][row], columns[5][row], columns[3][row], items.values.to_numpy()))
+                    now = unit
+                held.append([c[row] for c in columns])
         yield from done()
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _integers(held: list[list], *columns: int) -> list[np.ndarray]:
+    return [np.array([row[c] for row in held], dtype=np.int64) for c in columns]
+
+
+def _families(buckets: DataFrame, of_key: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component): families of sets by their sketches, from ``buckets`` and (key, n, sketch)."""
+    kept = (
+        buckets.groupBy("sign")
+        .agg(F.count(F.lit(1)).alias("n_sets"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("sum"))
+        .groupBy("n_sets", "sum")
+        .agg(F.min("sign").alias("sign"))
+    )
+    rows = buckets.select("sign", "key").join(kept.select("sign", "n_sets"), "sign")
+    blocks = F.ceil(F.col("n_sets") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "sign"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.struct("sign", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("_of"),
+        (F.col("own") > F.col("other")).cast("int").alias("half"),
+        "key",
+    )
+    rows = rows.withColumn("unit", F.concat_ws(":", "_of.sign", "_of.x", "_of.y")).drop("_of").join(of_key, "key")
+
+    def links_of(held: list[list]) -> list:
+        halves, keys, sizes = _integers(held, 0, 1, 2)
+        return _sketch_links(keys, np.arange(len(keys)), halves, sizes, [r[3] for r in held], num, den)
+
+    return connected_components(_units(rows, ["key", "n", "sketch"], links_of))
+
+
+def _rest(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links in families that the first set alone doesn't hold together.
+
+    ``members`` has component, key, items and ``tied`` (1: linked with the family's first set).  The sets
+    that aren't tied meet each other and the tied ones.
+    """
+    counts = members.groupBy("component").agg(F.sum("tied").alias("ties"), F.sum(1 - F.col("tied")).alias("loose")).where("loose > 0")
+    size = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = members.join(counts.select("component", size("ties").alias("p"), size("loose").alias("q")), "component")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("tied") == 1, F.col("p")).otherwise(F.col("q"))).cast("int")
+    rows = rows.withColumn("own", own)
+    # blocks of loose sets are numbered from 0, those of tied sets from q on
+    meets = F.when(F.col("tied") == 1, F.sequence(F.lit(0), F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") + F.col("p") - 1))
+    rows = rows.withColumn("own", F.col("own") + F.when(F.col("tied") == 1, F.col("q")).otherwise(0))
+    rows = rows.withColumn("other", F.explode(meets)).select(
+        F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
+        (F.col("own") > F.col("other")).cast("int").alias("half"),
+        "key",
+        F.when(F.col("tied") == 1, F.col("component")).otherwise(F.col("key")).alias("group"),
+        "items",
+    )
+
+    def links_of(held: list[list]) -> list:
+        halves, keys, groups = _integers(held, 0, 1, 2)
+        return _set_links(keys, groups, halves, [r[3] for r in held], num, den)
+
+    return _units(rows, ["key", "group", "items"], links_of)
+
+
 def similar_groups(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -233,37 +313,22 @@ def similar_groups(
     """
     num, den = similarity
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    keys = checkpoint(_keys(texts, words))
-    first = keys.where("n > 0").groupBy("key").agg(F.min("_id").alias("first"), F.max("n").alias("n"))
+    keys = checkpoint(_keys(texts, words, num, den))
+    first = keys.where("n > 0").groupBy("key").agg(F.min("_id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     buckets = checkpoint(_bucketed(_signed(texts, words, num, den)))
-    trials = checkpoint(buckets.where("key != center").select("center", "key").distinct())
-    ids = checkpoint(
-        trials.select("key").union(trials.select("center")).distinct().join(first, "key").where("first IS NOT NULL").select(F.col("first").alias("_id"), "key")
-    )
-    sets = checkpoint(_sets(texts, ids, words))
-    one = sets.select(F.col("key"), F.col("items").alias("x"))
-    two = sets.select(F.col("key").alias("center"), F.col("items").alias("y"))
-    verified = checkpoint(trials.join(one, "key").join(two, "center").where(_similar("x", "y", num, den)).select(F.col("center").alias("a"), F.col("key").alias("b")))
-    groups = connected_components(verified)
-    # Buckets that still hold sets of different groups; of buckets with the same sets one is enough.
-    labelled = buckets.select("sign", "key").join(groups, buckets["key"] == groups["node"], "left")
-    labelled = labelled.select("sign", "key", F.coalesce("component", "key").alias("group"))
-    content = (
-        labelled.groupBy("sign")
-        .agg(F.count(F.lit(1)).alias("n_sets"), F.min("group").alias("low"), F.max("group").alias("high"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("sum"))
-        .where("low != high")
-        .groupBy("n_sets", "sum")
-        .agg(F.min("sign").alias("sign"))
-    )
-    mixed = labelled.join(content.select("sign", "n_sets"), "sign").join(sets, "key")
-    more = _residual(mixed, num, den)
+    families = _families(buckets, first.select("key", "n", "sketch"), num, den)
+    members = checkpoint(families.join(first, families["node"] == first["key"]).where("first IS NOT NULL").select("component", "key", F.col("first").alias("_id")))
+    sets = checkpoint(_sets(texts, members.select("_id", "key"), words).join(members.select("component", "key"), "key"))
+    heads = sets.where("key = component").select("component", F.col("items").alias("head"))
+    tied = (F.col("key") == F.col("component")) | _similar("items", "head", num, den)
+    members = checkpoint(sets.join(heads, "component", "left").select("component", "key", "items", F.coalesce(tied, F.lit(False)).cast("int").alias("tied")))
+    links = members.where("tied = 1 AND key != component").select(F.col("component").alias("a"), F.col("key").alias("b"))
+    links = links.unionByName(_rest(members, num, den))
     # Components over the smallest ids of equal sets.
-    links = verified.unionByName(more)
     named = lambda c: first.select(F.col("key").alias(c), F.col("first").alias(f"{c}_id"))
-    links = links.join(named("a"), "a").join(named("b"), "b").select("a_id", "b_id")
-    found = connected_components(links, "a_id", "b_id")
+    found = connected_components(links.join(named("a"), "a").join(named("b"), "b"), "a_id", "b_id")
     of_key = first.join(found, first["first"] == found["node"], "left").select("key", F.coalesce("component", "first").alias("component"))
-    out = keys.join(of_key.withColumn("some", F.lit(1)), "key", "left")
+    out = keys.join(of_key, "key", "left")
     alone = F.col("n") == 0
     return out.select(
         F.col("_id").alias(id_col),
