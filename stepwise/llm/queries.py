@@ -15,6 +15,13 @@ DOMAIN_WEIGHTS = {"group0": 4, "group1": 3, "group2": 2}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_groups
 
@@ -132,6 +139,7 @@ SELECT doc_id, mix_domain, mix_lang, mix_source, mix_tokens, mix_budget, copies
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_ngram_join": op2_ngram_join,
         "op3_langid": op3_langid,
         "op4_substring_dedup": op4_substring_dedup,
