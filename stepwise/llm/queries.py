@@ -65,6 +65,73 @@ def mix_levels() -> tuple[dict, list]:
     return levels, [pick("mix_domain", DOMAIN_WEIGHTS), pick("mix_lang", LANG_WEIGHTS), F.lit(1)]
 
 
+def archive(pages: DataFrame) -> DataFrame:
+    """Capture records of a crawl that fetched every page and came back later: a response and a revisit each.
+
+    Some responses are errors, and some revisits name another version of the page.
+    """
+    mark = F.md5("html")
+    response = pages.select(
+        (F.col("page_id") * 2).alias("record_id"),
+        F.lit("response").alias("kind"),
+        "url",
+        (F.col("page_id") * 10).alias("ts"),
+        F.when(F.col("page_id") % 11 == 3, 404).otherwise(200).alias("status"),
+        F.create_map(
+            F.lit("ETag"), mark, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), (F.col("page_id") * 10).cast("string")
+        ).alias("headers"),
+        F.col("html").alias("body"),
+    )
+    again = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_medium=again"))
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"),
+        F.lit("revisit").alias("kind"),
+        again.alias("url"),
+        (F.col("page_id") * 10 + 25).alias("ts"),
+        F.lit(304).alias("status"),
+        F.create_map(
+            F.lit("etag"), F.when(F.col("page_id") % 7 == 5, F.lit("other")).otherwise(F.concat(F.lit("W/"), mark)),
+            F.lit("Date"), (F.col("page_id") * 10 + 25).cast("string"),
+            F.lit("Cache-Control"), F.lit("max-age=60"),
+            F.lit("Content-Type"), F.lit("not permitted"),
+        ).alias("headers"),
+        F.lit(None).cast("string").alias("body"),
+    )
+    return response.unionByName(revisit)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import resolve_revisits
+
+    resolved = resolve_revisits(archive(table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return resolved.select(
+        "record_id", "canonical", "source_id", "state", F.array_join(pairs, ";").alias("headers_text"), F.md5("body").alias("body_md5")
+    )
+
+
+OP6_SQL = r"""
+WITH r AS (SELECT page_id * 2 AS record_id, url, page_id * 10 AS ts, md5(html) AS mark, html, page_id FROM pages),
+    c AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM r),
+    d AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.|\.$', '') AS host,
+        regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(index|default)\.[a-z]+$', '/'), '/+$', '') AS path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|gclid|fbclid|ref)(=|$)'))) AS params FROM c),
+    e AS (SELECT *, host || path || CASE WHEN len(params) = 0 THEN '' ELSE '?' || array_to_string(params, '&') END AS canonical FROM d),
+    f AS (SELECT v.page_id * 2 + 1 AS record_id, v.page_id, v.mark, v.canonical, arg_max(s.record_id, s.ts) AS sid
+        FROM e v LEFT JOIN e s ON s.canonical = v.canonical AND s.ts < v.page_id * 10 + 25 AND s.page_id % 11 <> 3 AND s.html IS NOT NULL
+        GROUP BY ALL),
+    g AS (SELECT f.*, s.mark AS theirs, s.html AS html, CASE WHEN f.sid IS NULL THEN 'no-response'
+        WHEN f.page_id % 7 <> 5 AND s.mark = f.mark THEN 'resolved' ELSE 'validator-mismatch' END AS state
+        FROM f LEFT JOIN r s ON s.record_id = f.sid)
+SELECT record_id, canonical, sid AS source_id, state,
+    'cache-control=max-age=60;content-type=' || CASE WHEN state = 'resolved' THEN 'text/html' ELSE 'not permitted' END
+    || ';date=' || (page_id * 10 + 25) || ';etag=' || CASE WHEN page_id % 7 = 5 THEN 'other' ELSE 'W/' || mark END AS headers_text,
+    CASE WHEN state = 'resolved' THEN md5(html) END AS body_md5
+FROM g
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -89,6 +156,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def _share_sql(level: str, source: str, parent: str) -> str:
     """SQL of one level of the tree: the children of each parent share its budget."""
     by = f"PARTITION BY {parent}" if parent else ""
@@ -144,11 +217,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": op3_langid,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
+        "op6_warc_revisits": op6_warc_revisits,
         "op7_mixing": op7_mixing,
         "op8_chat_format": op8_chat_format,
         "op9_decontamination": op9_decontamination,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op7_mixing": OP7_SQL}
