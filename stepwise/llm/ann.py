@@ -100,18 +100,18 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: in
             if len(rows) > leaf_rows:
                 for _ in range(4):  # equal vectors cannot be parted
                     a, b = sample[random.choice(rows, 2, replace=False)]
-                    along = sample[rows] @ (b - a)
-                    cut = float(np.median(along))
-                    if 0 < (along > cut).sum() < len(rows):
+                    along = sample[rows] @ ((b - a) / (np.linalg.norm(b - a) or 1.0))
+                    above = along[along > np.median(along) + 1e-9]
+                    if len(above):
+                        # between two values, so that rounding moves no vector across
+                        cut = float(above.min() + along[along < above.min()].max()) / 2
                         side = along > cut
                         break
             if side is None:
                 leaf[at] = len(share)
                 share.append(len(rows) / max(1, len(sample)))
                 continue
-            normal[at], offset[at] = b - a, cut
-            size = np.linalg.norm(b - a) or 1.0
-            normal[at], offset[at] = normal[at] / size, cut / size
+            normal[at], offset[at] = (b - a) / np.linalg.norm(b - a), cut
             left[at], right[at] = node(), node()
             stack += [(left[at], rows[~side]), (right[at], rows[side])]
     return Forest(np.array(normal), np.array(offset), np.array(left), np.array(right), np.array(leaf), np.array(share), roots)
