@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .errors import ProgressiveError
 from .operators.snapshots import SNAP, STEP, all_snapshots
 from .operators.steps import step_of
+from .plans.builder import Builder
 from .plans.compiler import Plan, compile_select
 from .plans.reader import ViewReader
 from .plans.statements import CreateView, DropView, Plain, Prepare, Select, parse
 from .sources.catalog import Catalog
-from .sources.prepare import PARTITION, ForeignKey, Prepared, assign, column_stats, partition_count, partition_meta, prepare_table
+from .sources.prepare import PARTITION, ForeignKey, Prepared, prepare_table
 from .streaming.live import LiveView
 from .streaming.stepper import Snapshot, step_by_step
 from .streaming.stream import stream_snapshots
@@ -102,6 +103,10 @@ class ProgressiveSession:
 
     # --- statements
 
+    def table(self, *names: str) -> Builder:
+        """Begin a progressive select over tables or a view."""
+        return Builder(self, names)
+
     def sql(self, text: str) -> Result | ViewReader | LiveView | Prepared | DataFrame | None:
         """Run or compile a statement; what is not progressive goes to Spark SQL."""
         statement = parse(text)
@@ -170,6 +175,3 @@ class ProgressiveSession:
             base = base.join(df)
         steps = self.catalog.partition_count(names)
         return compile_select(select, self.catalog, names, base.withColumn(STEP, step_of(radix)), steps, in_view)
-
-
-__all__ = ["ForeignKey", "ProgressiveError", "ProgressiveSession", "Result", "assign", "column_stats", "partition_count", "partition_meta"]

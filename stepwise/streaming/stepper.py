@@ -24,6 +24,10 @@ class Snapshot:
     progress: float
     df: DataFrame
 
+    def to_json(self) -> list[str]:
+        """The rows as JSON texts, for a client."""
+        return self.df.toJSON().collect()
+
 
 def states_by_step(plan: Plan) -> Iterator[tuple[int, DataFrame]]:
     """(step, state): the merged state (all keys and flags) after each step.

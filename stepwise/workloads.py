@@ -198,8 +198,11 @@ for _n, _w, _dw in [
     ("where_isnull", "l_returnflag IS NOT NULL AND (l_linestatus IS NULL OR l_tax IS NOT NULL)", ""),
     ("where_case", "CASE WHEN l_quantity > 25 THEN l_tax ELSE l_discount END > 0.04", ""),
     ("where_regexp", "l_returnflag RLIKE '^(A|R)$'", "regexp_matches(l_returnflag, '^(A|R)$')"),
-    ("where_symmetric", "l_quantity BETWEEN least(20, 10) AND greatest(20, 10)", ""),
-    ("where_struct", "struct(l_linenumber, l_returnflag) = struct(1, 'A')", "l_linenumber = 1 AND l_returnflag = 'A'"),
+    ("where_symmetric", "l_quantity BETWEEN SYMMETRIC 20 AND 10 AND l_tax NOT BETWEEN ASYMMETRIC 0.05 AND 0.01", "l_quantity BETWEEN 10 AND 20"),
+    ("where_similar", "l_returnflag SIMILAR TO '(A|R)%' AND l_linestatus NOT SIMILAR TO 'F_+'", "regexp_matches(l_returnflag, '^(A|R).*$') AND NOT regexp_matches(l_linestatus, '^F.+$')"),
+    ("where_any_list", "l_linenumber = ANY (1, 3, 5) AND l_quantity > ALL (5, 10)", "l_linenumber IN (1, 3, 5) AND l_quantity > 10"),
+    ("where_any_query", "l_quantity > SOME (SELECT l_quantity + 20 FROM li) AND l_suppkey <> ALL (SELECT s_key FROM supplier_geo WHERE s_region = 'ASIA')", "l_quantity > (SELECT min(l_quantity) + 20 FROM li) AND l_suppkey NOT IN (SELECT s_key FROM supplier_geo WHERE s_region = 'ASIA')"),
+    ("where_row", "ROW(l_linenumber, l_returnflag) = ROW(1, 'A')", "l_linenumber = 1 AND l_returnflag = 'A'"),
     ("where_interval", "l_shipdate + INTERVAL 30 DAYS > TIMESTAMP '1998-09-02 00:00:00'", "l_shipdate + INTERVAL 30 DAY > TIMESTAMP '1998-09-02 00:00:00'"),
     ("where_item", "array(l_quantity, l_tax)[1] > 0.03", "l_tax > 0.03"),
     ("in_subquery", "l_partkey IN (SELECT p_key FROM part_dim WHERE p_category = 'PROMO')", ""),
