@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sample of a language: at most so many documents and characters, so many characters of each document.
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 96, 24_000, 500
+SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 96, 12_000, 250
 #: At most so many languages are learned, the most frequent first.
 MAX_LANGUAGES = 64
 #: Texts are parsed in blocks of so many symbols; a phrase ends where its block does.
 BLOCK = 512
 #: Blocks that step together.
-LANES = 16_384
+LANES = 8_192
 #: Cost (nats a symbol) above which no language fits, and a text counts as rejected.
 MAX_COST = 6.0
 
@@ -106,7 +106,7 @@ def build(model: Model) -> tuple:
     if key not in _BUILT:
         letters = sorted({c for t in model.samples.values() for c in t if ord(c) < 0x10000})
         width = len(letters) + 1
-        codes = np.zeros(0x10000, dtype=np.int64)  # 0: a letter that no sample has
+        codes = np.zeros(0x10000, dtype=np.uint16)  # 0: a letter that no sample has
         for k, c in enumerate(letters):
             codes[ord(c)] = k + 1
         languages, tables, starts, costs, offset = [], [], [], [], 0
@@ -197,13 +197,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     added = {"lang_pred", "score", "cost"}
     kept = [c for c in docs.columns if c.lower() not in added] if keep_rows else [id_col]
-    chosen = docs.select(*kept, F.col(text_col).alias("_text"))
+    at = kept.index(text_col) if text_col in kept else len(kept)  # the text travels once
+    chosen = docs.select(*kept, *([] if at < len(kept) else [F.col(text_col).alias("_text")]))
     names = sorted(model.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
-                texts = [normalise(t) if t else "" for t in part.column(len(kept)).to_pylist()]
+                texts = [normalise(t) if t else "" for t in part.column(at).to_pylist()]
                 cost = phrase_costs(model, texts) if names else np.zeros((len(texts), 0))
                 best, score, least = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
                 for k, t in enumerate(texts):
@@ -221,7 +222,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(run, f"{fields}, lang_pred string, score double, cost double")
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about ``most`` bytes, so that memory stays bounded."""
     rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
