@@ -210,6 +210,49 @@ SELECT doc_id, mix_domain, mix_lang, mix_source, mix_tokens, mix_budget, copies
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+    grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+        FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM shared WHERE 100 * common >= 85 * (nx + ny - common)),
+    edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM reach r JOIN edges e ON r.other = e.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+OP5_SQL = """
+WITH RECURSIVE steps(n, v, k) AS (SELECT n, n::UBIGINT, 0 FROM range(256) t(n)
+    UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8),
+    bytes AS (SELECT doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size,
+        list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT) AS b FROM documents),
+    sums AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT),
+        4294967295::UBIGINT)::BIGINT AS text_crc32 FROM bytes, crc_table),
+    placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(size) OVER () AS whole, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) AS place FROM sums),
+    cut AS (SELECT *, least(39, (2 * upto - size) * 40 // (2 * whole))::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot,
+    NULL::INTEGER AS grown_shard FROM cut
+"""
+
+OP8_SQL = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+        UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    told AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        -- both control strings and two line ends, and a mark more for each escaped string
+        sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<~*\|')) + 10 + 1)::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM told
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -226,4 +269,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {
+        "op2_ngram_join": OP2_SQL,
+        "op5_sharding": OP5_SQL,
+        "op6_warc_revisits": OP6_SQL,
+        "op7_mixing": OP7_SQL,
+        "op8_chat_format": OP8_SQL,
+    }
