@@ -68,6 +68,8 @@ FLAT = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_d
 # --- sessions
 
 _sessions: dict[tuple, ProgressiveSession] = {}
+#: The session whose tables the views stand for.
+_latest: list[tuple] = []
 
 
 def session(spark: SparkSession, sf_dir: str, kind: str = "main") -> ProgressiveSession:
@@ -76,12 +78,14 @@ def session(spark: SparkSession, sf_dir: str, kind: str = "main") -> Progressive
     ``main``: facts li, ev and flat, dimensions whole; ``product``: li in 3 and suppliers in 2 partitions.
     """
     at = spark.sparkContext.applicationId, sf_dir, kind
-    for name in RAW:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     if at in _sessions:
-        for name, df in _sessions[at].tables.items():
-            df.createOrReplaceTempView(name)
+        if _latest != [at]:  # the names stand for another session's tables
+            for name, df in _sessions[at].tables.items():
+                df.createOrReplaceTempView(name)
+            _latest[:] = [at]
         return _sessions[at]
+    for name in RAW:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     s = ProgressiveSession(spark)
     for name in RAW:
         s.register(name, spark.table(name))
@@ -97,6 +101,7 @@ def session(spark: SparkSession, sf_dir: str, kind: str = "main") -> Progressive
         s.prepare_table("ev", partitions=P, strategy="expr", key="event_id")
         s.prepare_table("flat", partitions=P, strategy="expr", key=LINE_KEY)
     _sessions[at] = s
+    _latest[:] = [at]
     return s
 
 
