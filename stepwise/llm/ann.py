@@ -1,10 +1,11 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
 The trees are grown on a bounded sample: a node splits its vectors at the median of their projections
-on the direction between two of them.  Every row is then sent to one leaf of each tree.  A query walks
-all trees through one priority queue: the node whose splits the query clears by the greatest margin
-is opened next, whichever tree it is in, until the opened leaves promise enough candidates.  Queries
-meet the rows of their leaves, leaf by leaf and in blocks of bounded size, and the candidates are
+on the direction between two of them.  Every row is then sent to one leaf of each tree.  A query opens
+the leaves of all trees in one order, those that it misses by the smallest margins first, until the
+opened leaves promise enough candidates.  How many are enough is measured: some of the queries are
+answered by brute force over the whole table, and the budget is raised until they find their
+neighbours.  Queries meet the rows of their leaves, leaf by leaf and in blocks of bounded size, and the candidates are
 ranked by their exact inner products.
 
 Trees that split by angle serve inner products once all vectors have one length, so vectors get one
@@ -13,7 +14,6 @@ more component that brings them to the length of the longest.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +26,12 @@ from .common import checkpoint, shuffle_width
 
 #: Trees, sample vectors that they are grown on, and sample vectors that a leaf may hold.
 TREES, SAMPLE, LEAF = 16, 20_000, 100
-#: Among n rows a query opens leaves that hold ``PROBE / sqrt(n)`` of the rows for each tree, at most all.
+#: Where the table is larger, a leaf holds fewer sample vectors, so that it has about so many rows, but no fewer than ``LEAST``.
+LEAF_ROWS, LEAST = 400, 10
+#: Among n rows a query opens leaves that hold at least ``PROBE / sqrt(n)`` of the rows for each tree, at most all.
 PROBE = 10.0
+#: The share of the rows is raised by ``RAISE`` until so many queries, answered by brute force, have the recall.
+RECALL, TRIALS, RAISE = 0.9, 256, 1.1
 #: Rows of a leaf, and queries, that meet in one unit of work.
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 
@@ -61,22 +65,35 @@ class Forest:
                 stack.append((self.left[node], rows[~right]))
         return out
 
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """All leaves for each query (rows), the most promising first: those that it misses by the smallest margins."""
+        margins = queries @ self.normal.T - self.offset
+        missed = np.full(margins.shape, -np.inf)  # the widest margin by which the way to a node goes wrong
+        level = np.array(self.roots)
+        while len(level := level[self.leaf[level] < 0]):
+            m, sofar = margins[:, level], missed[:, level]
+            wrong = np.maximum(sofar, abs(m))
+            missed[:, self.right[level]] = np.where(m > 0, sofar, wrong)
+            missed[:, self.left[level]] = np.where(m > 0, wrong, sofar)
+            level = np.concatenate([self.left[level], self.right[level]])
+        ends = np.flatnonzero(self.leaf >= 0)
+        return np.argsort(missed[:, ends[np.argsort(self.leaf[ends])]], axis=1, kind="stable")
+
+    def held(self, order: np.ndarray) -> np.ndarray:
+        """What the leaves before each one of ``order`` hold, in parts of the sample."""
+        return np.cumsum(self.share[order], axis=1) - self.share[order]
+
     def search(self, query: np.ndarray, share: float) -> list[int]:
         """Leaves to look into, the most promising first, that together hold ``share`` of the sample for each tree."""
-        margins = self.normal @ query - self.offset
-        queue = [(-np.inf, root) for root in self.roots]
-        found, held = [], 0.0
-        while queue and held < share * len(self.roots):
-            priority, node = heapq.heappop(queue)
-            if self.leaf[node] >= 0:
-                found.append(int(self.leaf[node]))
-                held += self.share[self.leaf[node]]
-                continue
-            m = margins[node]
-            near, far = (self.right[node], self.left[node]) if m > 0 else (self.left[node], self.right[node])
-            heapq.heappush(queue, (priority, near))
-            heapq.heappush(queue, (max(priority, abs(m)), far))
-        return found
+        return self.search_all(query[None, :], share)[0].tolist()
+
+    def search_all(self, queries: np.ndarray, share: float) -> list[np.ndarray]:
+        """``search`` for each row of ``queries``."""
+        out, some = [], max(1, 4_000_000 // len(self.leaf))
+        for at in range(0, len(queries), some):
+            order = self.order(queries[at : at + some])
+            out += [o[:n] for o, n in zip(order, (self.held(order) < share * len(self.roots)).sum(axis=1), strict=True)]
+        return out
 
 
 def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: int = 0) -> Forest:
@@ -127,6 +144,11 @@ def _longer(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))])
 
 
+def _asking(vectors: np.ndarray) -> np.ndarray:
+    """Queries as vectors of length one, with a component more."""
+    return np.column_stack([vectors / np.linalg.norm(vectors, axis=1, keepdims=True), np.zeros(len(vectors))])
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -143,7 +165,9 @@ def nearest(
     Both tables have an integer id and an array of numbers.  A query doesn't find the row of its own
     id.  Returns query_id, rank (from 1), vec_id and score (in doubles), ties to the smaller id.  The
     index is fitted to the ``sample_rows`` rows with the smallest id hashes and holds every row; the
-    result is approximate in that neighbours outside the opened leaves are missed.
+    result is approximate in that neighbours outside the opened leaves are missed.  Leaves are opened
+    until they hold ``probe / sqrt(n)`` of the rows for each tree, or more where the recall measured on
+    ``TRIALS`` queries is less than ``RECALL`` by two standard errors.
 
     Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
     those of another dimension than most have; null ids take no part; rows that repeat an id and
@@ -172,9 +196,12 @@ def nearest(
     bound = int(2**32 * min(1.0, sample_rows / total))
     sample = np.array([r.v for r in rows.where(mark < bound).select("v").orderBy(mark).limit(sample_rows).collect()])
     sample = sample if len(sample) else np.array([rows.select("v").first().v])
-    forest = grow(_longer(sample, longest), trees, seed=seed)
+    leaf_rows = max(LEAST, min(LEAF, LEAF_ROWS * len(sample) // total))
+    forest = grow(_longer(sample, longest), trees, leaf_rows, seed)
     share = min(1.0, probe / total**0.5)
     shared = spark.sparkContext.broadcast(forest)  # its size is bounded by the sample
+    if share < 1.0:
+        share = _enough(shared, rows, asked, share, k, dimension, longest, seed)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,10 +215,8 @@ def nearest(
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                q = _matrix(batch.column(1), dimension)
-                q = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
-                opened = [shared.value.search(x, share) for x in q]
-                take = pa.array(np.repeat(np.arange(len(q)), [len(o) for o in opened]))
+                opened = shared.value.search_all(_asking(_matrix(batch.column(1), dimension)), share)
+                take = pa.array(np.repeat(np.arange(batch.num_rows), [len(o) for o in opened]))
                 leaves = pa.array(np.concatenate(opened).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([leaves, batch.column(0).take(take), batch.column(1).take(take)], names=["leaf", "id", "v"])
 
@@ -242,6 +267,54 @@ def nearest(
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _enough(shared, rows: DataFrame, asked: DataFrame, share: float, k: int, dimension: int, longest: float, seed: int) -> float:  # noqa: ANN001
+    """The smallest share, raised from ``share``, at which queries find ``RECALL`` of their neighbours.
+
+    The trial queries, of different vectors, meet every row; the budget that a neighbour takes is that
+    of the first leaf which has it, in the order in which the query opens leaves.
+    """
+    trials = max(16, min(TRIALS, 20_000 // k))
+    chosen = asked.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trials).collect()
+    if not chosen:
+        return share
+    queries, ids = np.array([r.v for r in chosen], dtype=np.float64), np.array([r.id for r in chosen])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors, row_ids = _matrix(batch.column(1), dimension), batch.column(0).to_numpy()
+                close = queries @ vectors.T
+                close[ids[:, None] == row_ids[None, :]] = -np.inf
+                # the best k of a batch, ties to the smaller id
+                by_id = np.argsort(row_ids, kind="stable")
+                best = by_id[np.argsort(-close[:, by_id], axis=1, kind="stable")[:, :k]]
+                q, r = np.repeat(np.arange(len(queries)), best.shape[1]), best.ravel()
+                score = close[q, r]
+                q, r, score = q[np.isfinite(score)], r[np.isfinite(score)], score[np.isfinite(score)]
+                used, at = np.unique(r, return_inverse=True)
+                leaves = shared.value.leaves(_longer(vectors[used], longest))[at]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * leaves.shape[1]), pa.array(leaves.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(row_ids[r]), pa.array(score), lists], names=["q", "id", "score", "leaves"])
+
+    met = rows.mapInArrow(meet, "q int, id long, score double, leaves array<int>")
+    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    best = met.withColumn("rank", first).where(F.col("rank") <= k).select("q", "leaves").collect()
+    if not best:
+        return share
+    q, leaves = np.array([r.q for r in best]), np.array([r.leaves for r in best])
+    takes = np.empty(len(q))
+    for n in np.unique(q):
+        order = shared.value.order(_asking(queries[n : n + 1]))
+        takes[q == n] = shared.value.held(order)[0][np.argsort(order[0])[leaves[q == n]].min(axis=1)]
+    counts = np.bincount(q)
+    while share < 1.0:
+        recall = (np.bincount(q, takes < share * leaves.shape[1]) / np.maximum(counts, 1))[counts > 0]
+        if recall.mean() - 2 * recall.std() / len(recall) ** 0.5 >= RECALL:
+            break
+        share *= RAISE
+    return min(1.0, share)
+
+
 def _only_leaves(shared, dimension: int, longest: float):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,3 +71,19 @@ def test_recall_of_the_query(spark):
         scores[k] = -np.inf
         recall.append(len(got[ids[k]] & set(ids[np.argsort(-scores)[:20]])) / 20)
     assert np.mean(recall) >= 0.9
+
+
+def recall_of(got, rows, queries, k):
+    """The part of the true neighbours that ``got`` has, for each query."""
+    found = {(r.query_id, r.vec_id) for r in got}
+    want = exact(rows, queries, k)
+    return [np.mean([(q, d) in found for p, _, d in want if p == q]) for q in (q for q, _ in queries)]
+
+
+def test_budget_is_raised_until_recall_holds(tables):
+    r = np.random.default_rng(4)
+    rows = [(k, x.tolist()) for k, x in enumerate(r.normal(size=(4000, 24)))]
+    table = tables(rows, "vec_id long, embedding array<double>")
+    queries = [x for x in rows if x[0] % 100 == 0]
+    # by itself, this probe opens the leaves of one or two trees
+    assert np.mean(recall_of(nearest(table, table.where("vec_id % 100 = 0"), k=10, probe=0.3).collect(), rows, queries, 10)) >= 0.9
