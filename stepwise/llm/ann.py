@@ -28,7 +28,7 @@ from .common import checkpoint, shuffle_width
 TREES, SAMPLE, LEAF = 16, 20_000, 100
 #: Where the table is larger, a leaf holds fewer sample vectors, so that it has about so many rows, but no fewer than ``LEAST``.
 LEAF_ROWS, LEAST = 400, 10
-#: Among n rows a query opens leaves that hold at least ``PROBE / sqrt(n)`` of the rows for each tree, at most all.
+#: Among n rows a query opens leaves that hold at least ``PROBE / sqrt(n)`` of the different rows for each tree, at most all.
 PROBE = 10.0
 #: The share of the rows is raised by ``RAISE`` until so many queries, answered by brute force, have the recall.
 RECALL, TRIALS, RAISE = 0.9, 256, 1.1
@@ -45,7 +45,7 @@ class Forest:
     left: np.ndarray
     right: np.ndarray
     leaf: np.ndarray  # -1 for inner nodes
-    share: np.ndarray  # part of the sample in each leaf
+    share: np.ndarray  # part of the sample's different vectors in each leaf
     roots: list[int]
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
@@ -80,11 +80,16 @@ class Forest:
         return np.argsort(missed[:, ends[np.argsort(self.leaf[ends])]], axis=1, kind="stable")
 
     def held(self, order: np.ndarray) -> np.ndarray:
-        """What the leaves before each one of ``order`` hold, in parts of the sample."""
-        return np.cumsum(self.share[order], axis=1) - self.share[order]
+        """What the leaves before each one of ``order`` hold, in parts of the sample; nothing before the own leaf of each tree."""
+        before = np.cumsum(self.share[order], axis=1) - self.share[order]
+        before[:, : len(self.roots)] = 0.0
+        return before
 
     def search(self, query: np.ndarray, share: float) -> list[int]:
-        """Leaves to look into, the most promising first, that together hold ``share`` of the sample for each tree."""
+        """Leaves to look into, the most promising first, that together hold ``share`` of the sample for each tree.
+
+        The query's own leaf of each tree is among them.
+        """
         return self.search_all(query[None, :], share)[0].tolist()
 
     def search_all(self, queries: np.ndarray, share: float) -> list[np.ndarray]:
@@ -97,7 +102,8 @@ class Forest:
 
 
 def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: int = 0) -> Forest:
-    """A forest on the rows of ``sample``."""
+    """A forest on the different rows of ``sample``."""
+    sample = np.unique(sample, axis=0)
     random = np.random.default_rng(seed)
     normal, offset, left, right, leaf, share = [], [], [], [], [], []
 
@@ -115,7 +121,7 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: in
             at, rows = stack.pop()
             side = None
             if len(rows) > leaf_rows:
-                for _ in range(4):  # equal vectors cannot be parted
+                for _ in range(4):  # vectors that are equal but for rounding cannot be parted
                     a, b = sample[random.choice(rows, 2, replace=False)]
                     along = sample[rows] @ ((b - a) / (np.linalg.norm(b - a) or 1.0))
                     above = along[along > np.median(along) + 1e-9]

@@ -87,3 +87,18 @@ def test_budget_is_raised_until_recall_holds(tables):
     queries = [x for x in rows if x[0] % 100 == 0]
     # by itself, this probe opens the leaves of one or two trees
     assert np.mean(recall_of(nearest(table, table.where("vec_id % 100 = 0"), k=10, probe=0.3).collect(), rows, queries, 10)) >= 0.9
+
+
+def test_copies_do_not_use_up_the_budget(tables):
+    r = np.random.default_rng(5)
+    rows = [(k, ([1.0] * 16 if k % 3 == 0 else r.normal(size=16).tolist())) for k in range(4000)]
+    sample = np.array([v for _, v in rows])
+    forest = grow(sample, seed=1)
+    leaves, others = forest.leaves(sample), [k for k in range(4000) if k % 3][:50]
+    assert all(set(leaves[k]) <= set(forest.search(sample[k], 1e-6)) for k in others)  # its own leaf in every tree
+    assert forest.share.max() <= 100 / 2667  # a leaf holds so many different vectors
+    table = tables(rows, "vec_id long, embedding array<double>")
+    queries = [x for x in rows if x[0] % 100 == 1 and x[0] % 3]
+    # the hot vector is a third of the rows, and of the queries
+    recall = recall_of(nearest(table, table.where("vec_id % 100 IN (0, 1)"), k=10).collect(), rows, queries, 10)
+    assert np.mean(recall) >= 0.9 and np.mean(sorted(recall)[: len(recall) // 10 + 1]) >= 0.7
