@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false findings (DataFrame functions only).
 
-Long words with digits or inner capitals are candidates.  Each is described by its length, by the
+Long words with digits or inner capitals are candidates, and so is what is quoted, assigned or follows a
+keyword, from six characters on and of any characters but blanks and quotes.  Each is described by its length, by the
 transitions between classes of characters, by the part of it that words of a dictionary cover, by
 signs of a path or address around it, and by its neighbouring words.  A random forest trained on
 labelled findings then tells secrets from hashes, numbers, names, paths and placeholders.  Everything
@@ -15,8 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shortest candidate in characters.
-SHORTEST = 16
+#: Shortest candidate in characters; shortest one that is quoted, assigned or follows a keyword.
+SHORTEST, SHORTEST_VALUE = 16, 6
 #: Labelled findings that the forest is trained on, at most; its trees and their depth; its seed.
 TRAINING_ROWS, TREES, DEPTH, SEED = 8_000, 24, 7, 11
 #: Words of the dictionary (the most frequent of the corpus) and their lengths in letters.
@@ -26,30 +27,44 @@ KEYWORDS = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|pri
 DECOYS = "sha|md5|commit|checksum|digest|uuid|guid|etag|version|example|isbn|order|card|phone"
 
 _RUN = f"[A-Za-z0-9_+/=.~@:%-]{{{SHORTEST},}}"
+#: A word that announces a value, and a word between the two.
+_ANNOUNCES = r"(?i)(^|[^a-z])(\w*passw(or)?d|pwd|passphrase|\w*secret|\w*token|api[_-]?key|bearer|credentials?|\w*_key|auth)[\"'`]?[=:]*$"
+_BETWEEN = "^(is|was|=|:|:=|=>|->)$"
+#: The value in a word: what stands in quotes, else what follows = or :, else the word without punctuation around it.
+_QUOTED, _ASSIGNED, _BARE = f"[\"'`]([^\"'`]{{{SHORTEST_VALUE},}})[\"'`]", f"[=:]+([^\"'`=:][^\"'`]{{{SHORTEST_VALUE - 1},}}?)[,;.)}}\\]]*$", f"^[(\\[{{]*([^\"'`]{{{SHORTEST_VALUE},}}?)[,;.)}}\\]]*$"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word_at, word, candidate, before, before2, after): the long runs in the words of whole texts.
 
     A word that holds a run of ``SHORTEST`` key characters with a digit or an inner capital gives one
-    candidate for each such run; ``word_at`` counts words from 0.  Null texts have none.
+    candidate for each such run.  A value of ``SHORTEST_VALUE`` characters that is quoted, assigned (in
+    the word or by the word before) or announced by a keyword is a candidate, too, unless it is part
+    of such a run.  ``word_at`` counts words from 0.  Null texts have none.
     """
     words = docs.select(F.col(id_col), F.split(F.col(text_col), r"\s+").alias("words"))
     likely = lambda w: (F.length(w) >= SHORTEST) & w.rlike(_RUN) & w.rlike("[0-9]|[a-z][A-Z]")
     near = lambda i: F.substring(F.coalesce(F.get("words", i), F.lit("")), 1, 64)
+    told = lambda i: near(i - 1).rlike("[=:]$") | near(i - 1).rlike(_ANNOUNCES) | (near(i - 1).rlike(_BETWEEN) & near(i - 2).rlike(_ANNOUNCES))
+    valued = lambda w, i: (F.length(w) >= SHORTEST_VALUE) & (w.rlike("[\"'`=:]") | told(i))
     hits = F.filter(
         F.transform(
             "words",
             lambda w, i: F.when(
-                likely(w),
+                likely(w) | valued(w, i),
                 F.struct(i.alias("word_at"), w.alias("word"), near(i - 1).alias("before"), near(i - 2).alias("before2"), near(i + 1).alias("after")),
             ),
         ),
         lambda h: h.isNotNull(),
     )
     found = words.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
-    found = found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(f"({_RUN})"), F.lit(1))))
-    return found.where(F.col("candidate").rlike("[0-9]|[a-z][A-Z]"))
+    every = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), F.lit(1))
+    runs = F.filter(every(f"({_RUN})"), lambda c: c.rlike("[0-9]|[a-z][A-Z]"))
+    announced = F.col("before").rlike("[=:]$") | F.col("before").rlike(_ANNOUNCES) | (F.col("before").rlike(_BETWEEN) & F.col("before2").rlike(_ANNOUNCES))
+    values = F.when(F.size(every(_QUOTED)) > 0, every(_QUOTED)).when(F.size(every(_ASSIGNED)) > 0, every(_ASSIGNED)).when(announced, every(_BARE)).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("_runs", runs)
+    apart = F.filter(F.array_distinct(values), lambda v: ~F.exists("_runs", lambda r: F.contains(r, v)))
+    return found.withColumn("candidate", F.explode(F.concat("_runs", apart))).drop("_runs")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
@@ -67,7 +82,8 @@ def features(found: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     longest_first = sorted(words, key=lambda w: (-len(w), w))
     bare = F.regexp_replace(F.lower(c), "|".join(longest_first), "") if words else F.lower(c)
-    around = F.lower(F.concat_ws(" ", "before2", "before", F.regexp_extract("word", r"^(.*?)[A-Za-z0-9_+/=.~@:%-]{16,}", 1)))
+    ahead = F.expr("substring(word, 1, greatest(locate(candidate, word) - 1, 0))")
+    around = F.lower(F.concat_ws(" ", "before2", "before", ahead))
     made: dict[str, Column] = {
         "length": n.cast("double"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
@@ -85,9 +101,11 @@ def features(found: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
         "slashes": share("/"),
         "dots": share("[.]"),
         "marks": share("[@:%]"),
+        "other_marks": share("[^A-Za-z0-9_+/=.~@:%-]"),
+        "brackets": share(r"[(){}<>\[\]]"),
         "path": F.lower("word").rlike(r"://|^/|[.](html?|py|js|json|txt|png|com|org|net)\b|@").cast("double"),
         "groups": share("-"),
-        "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike(r"[=:][\"']?[A-Za-z0-9_+/=.~-]{16}")).cast("double"),
+        "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike(r"[=:][\"']?[A-Za-z0-9_+/=.~-]{16}") | ahead.rlike("[=:][\"'`]?$")).cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "keyword": around.rlike(KEYWORDS).cast("double"),
         "decoy": F.concat(around, F.lit(" "), F.lower("after")).rlike(DECOYS).cast("double"),
@@ -157,6 +175,72 @@ def example_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     )
 
 
+def example_values(spark: SparkSession, rows: int = 3_000) -> DataFrame:
+    """More labelled findings, as of ``example_findings``: short ones, of other characters, or without a digit.
+
+    Half are passwords and keys that are assigned to or follow a name; the others are words, numbers
+    and code, many of which are quoted or follow the same names.
+    """
+    r = spark.range(0, rows, 1, 4).select("id", F.sha2(F.concat(F.lit("value"), F.col("id").cast("string")), 256).alias("x"))
+    r = r.withColumn("b", F.regexp_replace(F.base64(F.unhex("x")), "[+/=]", "a")).withColumn("pick", F.conv(F.substring("x", 1, 6), 16, 10).cast("long"))
+    take = lambda options, by: F.element_at(F.array(*options), (F.floor(by) % len(options) + 1).cast("int"))
+    from_list = lambda ws, by: take([F.lit(w) for w in ws], by)
+    by, x, b = F.col("pick"), F.col("x"), F.col("b")
+    letters = F.translate(x, "0123456789abcdef", "qwzrtyuiopaskdfg")
+    number, mark = F.lpad(F.conv(F.substring("x", 10, 6), 16, 10), 8, "3"), from_list("!#$&*?^@%", by / 3)
+    word = from_list(["winter", "summer", "dragon", "monday", "orange", "admin", "sunshine", "football", "hunter", "london", "master", "river", "required", "optional", "disabled", "string", "default", "nothing", "however", "example"], by / 5)
+    secret = take(
+        [
+            F.concat(F.initcap(word), F.substring(number, 1, 4), mark),
+            F.concat(F.substring(b, 1, 4), mark, F.substring(b, 5, 4), mark, F.substring(b, 9, 3)),
+            F.substring(b, 1, 12),
+            F.concat(F.substring(b, 1, 8), mark),
+            F.concat(F.initcap(word), mark, F.substring(number, 1, 3)),
+            F.substring(letters, 1, 28),
+            F.upper(F.substring(letters, 1, 24)),
+            F.concat(word, F.substring(number, 1, 3)),
+            F.concat(F.substring(x, 1, 10), mark, mark, F.substring(letters, 1, 12)),
+        ],
+        by,
+    )
+    other = take(
+        [
+            word,
+            F.initcap(word),
+            F.concat(word, word),
+            F.concat(F.lit("<"), word, F.lit(">")),
+            F.concat(F.lit("${"), F.upper(word), F.lit("}")),
+            F.concat(F.lit("get"), F.initcap(word), F.lit("()")),
+            F.concat(F.lit("https://www."), word, F.lit(".org/?q=1")),
+            F.concat(F.lit("your_"), word),
+            F.lit("xxxxxxxx"),
+            F.lit("********"),
+            F.concat(word, F.lit("_"), word),
+            number,
+            F.concat_ws(":", F.lit("10"), F.substring(number, 1, 2), F.substring(number, 3, 2)),
+        ],
+        by,
+    )
+    is_secret = F.col("id") % 2 == 0
+    held = F.when(is_secret, secret).otherwise(other)
+    key = from_list(["password", "passwd", "db_password", "secret", "pwd", "api_key", "token", "auth"], by / 13)
+    plain = from_list(["the", "and", "with", "of", "name", "title", "note", "color"], by / 17)
+    keyed = is_secret | (by % 3 == 0)
+    name, way = F.when(keyed, key).otherwise(plain), F.floor(by / 23) % 5
+    quoted = F.concat(F.lit('"'), held, F.lit('"'))
+    return r.select(
+        F.col("id").alias("doc_id"),
+        F.lit(0).alias("word_at"),
+        # name = "x", name="x", name: x, name=x, name is x
+        F.when(way == 0, quoted).when(way == 1, F.concat(name, F.lit("="), quoted)).when(way == 3, F.concat(name, F.lit("="), held)).otherwise(held).alias("word"),
+        F.when(way == 0, "=").when(way == 2, F.concat(name, F.lit(":"))).when(way == 4, "is").otherwise(plain).alias("before"),
+        F.when(way.isin(0, 4), name).otherwise(plain).alias("before2"),
+        F.lit("and").alias("after"),
+        held.alias("candidate"),
+        is_secret.cast("double").alias("label"),
+    )
+
+
 def train(findings: DataFrame, words: list[str], seed: int = SEED) -> RandomForestClassificationModel:
     """A forest trained on labelled findings; of more than ``TRAINING_ROWS`` those with the smallest hashes."""
     ordered = findings.withColumn("_mark", F.xxhash64("candidate", "before", "word_at"))
@@ -172,7 +256,7 @@ def scan(
     """Every candidate of the whole texts with the forest's judgement.
 
     ``findings``: labelled findings to train on, with the columns of ``candidates`` and ``label``; by
-    default ``example_findings``.  Returns the id, ``word_at``, ``candidate``, ``probability`` (of a
+    default ``example_findings`` and ``example_values``.  Returns the id, ``word_at``, ``candidate``, ``probability`` (of a
     secret) and ``is_secret``.
 
     Cases: null and empty texts have no candidates; a secret that occurs again is reported again; rows
@@ -181,7 +265,9 @@ def scan(
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     words = dictionary(rows, "_text")
-    model = train(example_findings(docs.sparkSession) if findings is None else findings, words)
+    if findings is None:
+        findings = example_findings(docs.sparkSession).unionByName(example_values(docs.sparkSession))
+    model = train(findings, words)
     described, names = features(candidates(rows, id_col, "_text"), words)
     judged = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(described))
     probability = vector_to_array("probability")[1]

@@ -183,3 +183,20 @@ def test_secrets(tables, spark):
     judged = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(described))
     right = judged.where(F.col("prediction") == F.col("label")).count()
     assert right >= 0.97 * judged.count() and math.isfinite(right)
+
+
+def test_short_secrets(tables):
+    texts = {
+        1: ('password = "Winter2024!" here', "Winter2024!"),
+        2: ('set password="Winter2024!" here', "Winter2024!"),
+        3: ("db_password: aB3$xK9!pQ2&z and", "aB3$xK9!pQ2&z"),
+        4: ("the token = qwzrtyuiokaskdfgpqzwtrkyo is", "qwzrtyuiokaskdfgpqzwtrkyo"),
+        5: ("secret=PQZWTRKYOQWZRTYUIOKASKDF", "PQZWTRKYOQWZRTYUIOKASKDF"),
+        6: ('they said "nothing" and title: Winter of note', None),
+        7: ("password: required and pwd = optional", None),
+    }
+    docs = tables([(d, t) for d, (t, _) in texts.items()], "doc_id long, text string")
+    got = [(r.doc_id, r.candidate) for r in scan(docs).where("is_secret").collect()]
+    assert all((d, v) in got for d, (_, v) in texts.items() if v and d != 5)
+    assert any(d == 5 and c.endswith(texts[5][1]) for d, c in got)
+    assert not [g for g in got if texts[g[0]][1] is None]
