@@ -150,16 +150,21 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(key, items) of the documents of ``ids`` (_id, key); one row for each key."""
+    """(key, items) of the documents of ``ids`` (_id, key); one row for each key.
+
+    Rows of one id may have different texts; only those with the key's own set count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
-                sets = shingle_sets(part.column(1), words)
+                wanted, sets = part.column(0).to_pylist(), shingle_sets(part.column(1), words)
+                own = [k for k, items in enumerate(sets) if set_key(items) == wanted[k]]
+                sets = [sets[k] for k in own]
                 sizes = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 items = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(sizes), items)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), lists], names=["key", "items"])
 
     chosen = docs.join(_few(ids), "_id").select("key", "_text")
     return chosen.mapInArrow(run, "key long, items array<long>").dropDuplicates(["key"])

@@ -128,3 +128,15 @@ def test_components(tables):
             parent[y] = x
     assert got == {x: find(x) for x in list(parent)}
     assert connected_components(tables([], "a long, b long")).collect() == []
+
+
+def test_sets_of_rows_that_share_an_id(tables):
+    from stepwise.llm.ngram_join import _sets
+    from stepwise.llm.shingles import set_key
+
+    texts = [" ".join(f"w{k}x{n}" for n in range(8)) for k in range(20)]
+    keys = [set_key(s) for s in shingle_sets(pa.array(texts), 4)]
+    docs, ids = tables([(1, t) for t in texts], "_id long, _text string"), tables([(1, k) for k in keys], "_id long, key long")
+    got = {r.key: r["items"] for r in _sets(docs, ids, 4).collect()}
+    assert set(got) == set(keys)
+    assert all(set_key(np.array(v, dtype=np.int64).view(np.uint64)) == k for k, v in got.items())
