@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Sample of a language: at most so many documents and characters, so many characters of each document.
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 96, 12_000, 250
-#: At most so many languages are learned, the most frequent first.
+#: At most so many languages can be learned.
 MAX_LANGUAGES = 64
 #: Texts are parsed in blocks of so many symbols; a phrase ends where its block does.
 BLOCK = 512
@@ -159,12 +159,14 @@ def phrase_costs(model: Model, texts: list[str]) -> np.ndarray:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Sample each language of ``labelled``.
 
-    The labels are counted over all rows; of each of the most frequent ``MAX_LANGUAGES`` languages
+    The labels are counted over all rows; more than ``MAX_LANGUAGES`` are an error.  Of each language
     about ``SAMPLE_DOCS`` documents with the smallest id hashes are fetched, a bounded number of
     characters of each.  Rows without label, text or letters teach nothing.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model({})
     # ids are hashed to 0..2^32-1; a language of n rows keeps the hashes below 2^32 * SAMPLE_DOCS / n

@@ -71,3 +71,13 @@ def test_held_out_accuracy(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in op3_langid(spark, sf_dir).collect() if r.held_out]
     assert len(held) > 200 and sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_too_many_languages_are_an_error(tables):
+    import pytest
+
+    rows = [(k, f"text of language {k}", f"l{k:02}") for k in range(65)]
+    labelled = tables(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="64 languages"):
+        learn(labelled)
+    assert len(learn(labelled.where("doc_id < 64")).samples) == 64
