@@ -67,28 +67,36 @@ def one_snapshot(state: DataFrame, keys: Sequence[str], states: Sequence[State],
     return rows.select(F.lit(step).alias(SNAP), *keys, *counts)
 
 
-def grouping_sets(partial: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
-    """``partial`` repeated for each grouping set of ROLLUP or CUBE, with ``_grouping`` telling them apart."""
+def grouping_sets(partial: DataFrame, keys: Sequence[str], kind: str, sets: Sequence[Sequence[int]] = ()) -> DataFrame:
+    """``partial`` repeated for each grouping set, with ``_grouping`` telling them apart.
+
+    ``kind`` is ROLLUP, CUBE or SETS; for the last one ``sets`` has the places of each set's keys.
+    """
     n = len(keys)
-    masks = [(1 << k) - 1 for k in range(n + 1)] if kind == "ROLLUP" else range(1 << n)
+    if kind == "SETS":
+        masks = [sum(1 << (n - 1 - k) for k in range(n) if k not in s) for s in sets]
+    else:
+        masks = [(1 << k) - 1 for k in range(n + 1)] if kind == "ROLLUP" else list(range(1 << n))
     types = dict(partial.dtypes)
 
-    def keyed(mask: int) -> Column:
-        out = [F.lit(mask).alias("_grouping")]
+    def keyed(number: int, mask: int) -> Column:
+        # a set that comes twice gives its rows twice
+        out = [F.lit(number if kind == "SETS" else mask).alias("_grouping")]
         for place, key in enumerate(keys):
             gone = mask >> (n - 1 - place) & 1
             out.append((F.lit(None).cast(types[key]) if gone else F.col(key)).alias(key))
         return F.struct(*out)
 
     rest = [c for c in partial.columns if c not in keys]
-    return partial.select(*rest, F.explode(F.array(*map(keyed, masks))).alias("_keys")).select(*rest, "_keys.*")
+    return partial.select(*rest, F.explode(F.array(*[keyed(k, m) for k, m in enumerate(masks)])).alias("_keys")).select(*rest, "_keys.*")
 
 
 def top_per_snapshot(snapshots: DataFrame, order: Sequence[Column], limit: int | None, offset: int) -> DataFrame:
     """The rows from ``offset`` to ``offset + limit`` of each snapshot."""
     if limit is None and not offset:
         return snapshots
-    place = F.row_number().over(Window.partitionBy(SNAP).orderBy(*(order or [F.lit(0)])))
+    # without an order the rows are taken in that of all columns, so that every run gives the same ones
+    place = F.row_number().over(Window.partitionBy(SNAP).orderBy(*(order or [F.col(c) for c in snapshots.columns if c != SNAP])))
     ranked = snapshots.withColumn("_place", place)
     if limit is not None:
         ranked = ranked.where(F.col("_place") <= offset + limit)

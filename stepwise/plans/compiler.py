@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,8 @@ from .statements import Order, Select
 
 AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "PROGRESSIVE_CONFIDENCE")
 META = ("PROGRESSIVE_PARTITION", "PROGRESSIVE_PROGRESS")
+#: Flags of FUTURE predicates in one column.
+FLAG_BITS = 62
 
 
 def normal(text: str) -> str:
@@ -73,16 +75,26 @@ class Plan:
     select: Select
     catalog: Catalog
     tables: list[str]
-    base: DataFrame  # joined and filtered, with _step
+    rows: Callable[[int | None], DataFrame]  # joined and filtered, with _step: those of a step, or all
     steps: int
     items: list[Item] = field(default_factory=list)
     keys: dict[str, str] = field(default_factory=dict)  # column -> expression
     future_keys: dict[str, str] = field(default_factory=dict)
     tree: futures.Node | None = None
-    flag_of: dict[int, str] = field(default_factory=dict)
+    flag_of: dict[int, str] = field(default_factory=dict)  # identity of a node -> expression, 0 or 1
     states: dict[tuple[str, str], State] = field(default_factory=dict)
     hidden: list[Item] = field(default_factory=list)
 
+    @property
+    def base(self) -> DataFrame:
+        """The rows of all steps."""
+        return self.rows(None)
+
+    @property
+    def flag_words(self) -> list[str]:
+        """The columns that hold the flags, ``FLAG_BITS`` in each."""
+        return [f"_f{k}" for k in range(-(-len(self.flag_of) // FLAG_BITS))]
+
     @property
     def aggregating(self) -> bool:
         return bool(self.states) or any(i.kind in META for i in self.items)
@@ -95,13 +107,23 @@ class Plan:
 
     # --- partial states
 
-    def partial(self, base: DataFrame | None = None) -> DataFrame:
-        """(_step, keys, future keys, flags, states): one row for each group and step."""
+    def partial(self, base: DataFrame | None = None, guard: Column | None = None, *more: Column) -> DataFrame:
+        """(_step, keys, future keys, flags, states): one row for each group and step.
+
+        With ``guard``, a named condition that is never null, the rows that it excludes are one group a
+        step, whose states mean nothing; the condition and the aggregates ``more`` are columns, too.
+        """
         base = self.base if base is None else base
-        flags = [F.expr(f"cast({futures.to_sql(n)} AS int)").alias(self.flag_of[id(n)]) for n in futures.flags(self.tree)]
-        keys = [F.expr(e).alias(c) for c, e in {**self.keys, **self.future_keys}.items()]
-        grouped = base.groupBy(F.col(STEP), *keys, *flags)
-        return grouped.agg(*[s.partial() for s in self.states.values()]) if self.states else grouped.agg(F.lit(1).alias("_any")).drop("_any")
+        nodes = futures.flags(self.tree)
+        keys = [(c, F.expr(e)) for c, e in {**self.keys, **self.future_keys}.items()]
+        for k, word in enumerate(self.flag_words):
+            bits = [f"shiftleft(CAST(coalesce({futures.to_sql(n)}, false) AS BIGINT), {b})" for b, n in enumerate(nodes[k * FLAG_BITS : (k + 1) * FLAG_BITS])]
+            keys.append((word, F.expr(" | ".join(bits))))
+        if guard is not None:
+            keys = [(c, F.when(guard, e)) for c, e in keys]
+        grouped = base.groupBy(F.col(STEP), *[e.alias(c) for c, e in keys], *([] if guard is None else [guard]))
+        aggregates = [*[s.partial() for s in self.states.values()], *more]
+        return grouped.agg(*aggregates) if aggregates else grouped.agg(F.lit(1).alias("_any")).drop("_any")
 
     def reduced(self, partial: DataFrame, condition: str | None, active: Sequence[str], with_step: bool = True) -> DataFrame:
         """The partial states of a reader: flags applied, inactive future keys merged away."""
@@ -109,7 +131,7 @@ class Plan:
             partial = partial.where(condition)
         keys = [*self.keys, *active]
         if self.select.grouping:
-            partial = grouping_sets(partial, list(self.keys), self.select.grouping)
+            partial = grouping_sets(partial, list(self.keys), self.select.grouping, self.select.grouping_sets)
             keys.append("_grouping")
         return merge_states(partial, [STEP, *keys] if with_step else keys, list(self.states.values()))
 
@@ -233,15 +255,15 @@ def _window_or_nested(tokens: list[Token]) -> None:
         raise ProgressiveError("window functions can be used on the reading of a view only")
 
 
-def compile_select(select: Select, catalog: Catalog, tables: list[str], base: DataFrame, steps: int, in_view: bool) -> Plan:
-    """Compile ``select`` over ``base`` (the joined tables, with ``_step``, not yet filtered)."""
+def compile_select(select: Select, catalog: Catalog, tables: list[str], joined: Callable[[int | None], DataFrame], steps: int, in_view: bool) -> Plan:
+    """Compile ``select`` over ``joined`` (the joined tables of a step or of all, with ``_step``, not yet filtered)."""
     tree = futures.parse_where(select.where) if in_view else None
     if not in_view and select.where and isinstance(futures.parse_where(select.where), futures.Future | futures.Both | futures.Either):
         raise ProgressiveError("FUTURE belongs into the definition of a view")
     condition = futures.source_filter(tree) if in_view else select.where
-    plan = Plan(select, catalog, tables, base.where(condition) if condition else base, steps, tree=tree)
+    plan = Plan(select, catalog, tables, lambda step: joined(step).where(condition) if condition else joined(step), steps, tree=tree)
     for k, node in enumerate(futures.flags(tree)):
-        plan.flag_of[id(node)] = f"_f{k}"
+        plan.flag_of[id(node)] = f"(shiftright(_f{k // FLAG_BITS}, {k % FLAG_BITS}) & 1)"
     aliases = {i.alias.lower(): i.text for i in select.items if i.alias}
     for g in select.group_by:
         text = select.items[int(g.text) - 1].text if g.text.isdigit() and int(g.text) <= len(select.items) else aliases.get(normal(g.text), g.text)

@@ -26,6 +26,14 @@ if TYPE_CHECKING:
 OUTER_AGGREGATES = {"SUM", "COUNT", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN", "FIRST", "LAST", "COLLECT_LIST", "COLLECT_SET", "APPROX_COUNT_DISTINCT"}
 
 
+def _bare(text: str) -> str:
+    """``text`` without parentheses around it."""
+    tokens = tokenize(text)
+    while enclosed(tokens):
+        tokens = tokens[1:-1]
+    return span(text, tokens)
+
+
 @dataclass
 class ViewReader:
     view: LiveView
@@ -43,7 +51,7 @@ class ViewReader:
         nodes = [n for n in futures.flags(plan.tree) if isinstance(n, futures.Future)]
         chosen: set[int] = set()
         for text in self.select.future_where:
-            hits = [n for n in nodes if self._same(n.text, text)]
+            hits = [n for n in nodes if normal(n.text) == normal(_bare(text))] or [n for n in nodes if self._same(n.text, text)]
             if not hits:
                 raise ProgressiveError(f"{text} is no FUTURE predicate of {self.view.name}")
             chosen |= {id(n) for n in hits}
@@ -58,15 +66,9 @@ class ViewReader:
 
     def _same(self, one: str, other: str) -> bool:
         """Whether two predicates mean the same, as far as Spark can tell."""
-        tokens = tokenize(other)
-        while enclosed(tokens):
-            tokens = tokens[1:-1]
-        other = span(other, tokens)
-        if normal(one) == normal(other):
-            return True
         base = self.view.plan.base
         try:
-            return base.where(one).sameSemantics(base.where(other))
+            return base.where(one).sameSemantics(base.where(_bare(other)))
         except AnalysisException:
             return False
 
@@ -100,8 +102,8 @@ class ViewReader:
         from ..streaming.stepper import Snapshot
 
         plan = self.view.plan
-        for step, state in self.view.follow():
-            merged = plan.reduced(state, self.condition, self.active, with_step=False)
+        for step, partial in self.view.follow():
+            merged = plan.reduced(partial, self.condition, self.active, with_step=False)
             states = one_snapshot(merged, plan.group_columns(self.active), list(plan.states.values()), step)
             yield Snapshot(step + 1, (step + 1) / plan.steps, self._outer(self._inner(states), True, False))
 
@@ -135,7 +137,7 @@ class ViewReader:
                 order[k] = order[k].replace(self._text(s.order_by[k].text), f"_o{k}", 1)
             added = "".join(f", {self._text(s.order_by[k].text)} AS _o{k}" for k in extra)
             text = text.replace(f" FROM {name}", f"{added} FROM {name}", 1)
-            place = f"row_number() OVER (PARTITION BY {SNAP} ORDER BY {', '.join(order) or 'NULL'}) AS _place"
+            place = f"row_number() OVER (PARTITION BY {SNAP} ORDER BY {', '.join(order) or 'struct(*)'}) AS _place"
             last = f" AND _place <= {s.offset + s.limit}" if s.limit is not None else ""
             hidden = ", ".join(["_place", *[f"_o{k}" for k in extra]])
             order = ["_place"]

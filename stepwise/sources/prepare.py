@@ -68,8 +68,10 @@ def _numbered(df: DataFrame, names: list[str]) -> DataFrame:
     The rows are range-partitioned and numbered inside each range; a range starts where the row counts
     of the earlier ones end.  The ranges are checkpointed, so a lost executor cannot shift them.
     """
+    from ..streaming.state import checkpoint
+
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _checkpoint(df.repartitionByRange(width, *names).withColumn("_range", F.spark_partition_id()))
+    ranged = checkpoint(df.repartitionByRange(width, *names).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").count()
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
@@ -83,12 +85,6 @@ def _numbered(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    from ..streaming.state import checkpoint
-
-    return checkpoint(df)
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != PARTITION]
 
@@ -135,21 +131,36 @@ def prepare_table(
     return Prepared(name, data, partitions, path)
 
 
-def calibrate_partition_size(df: DataFrame, n_groups: int = 5, target_ms: int = TARGET_MS, first_size: int = FIRST_SIZE) -> int:
-    """The number of rows over which an average by ``n_groups`` columns takes about ``target_ms``.
-
-    Each size is timed as the mean of ``RUNS`` runs and scaled to the target; two leading digits of the
-    new size are kept.  The search ends within ``TOLERANCE`` of the target, when the whole table is
-    faster, when a size comes again, or after ``MOST_SIZES`` sizes.
+def calibrate_partition_size(
+    df: DataFrame,
+    dimensions: Sequence[tuple[ForeignKey, DataFrame]] = (),
+    n_groups: int = 5,
+    target_ms: float = TARGET_MS,
+    first_size: int = FIRST_SIZE,
+) -> int:
+    """The number of rows over which an average over the joined ``dimensions`` takes about ``target_ms``.
+
+    The average of a numeric column is grouped by ``n_groups`` columns, or as many as there are
+    dimensions if these are more; each foreign key joins its table.  Each size is timed as the mean of
+    ``RUNS`` runs and scaled to the target; two leading digits of the new size are kept.  The search ends
+    within ``TOLERANCE`` of the target, when the whole table is faster, when a size comes again, or after
+    ``MOST_SIZES`` sizes.  The rows of a size are those with the smallest hashes, which every task picks
+    by itself.
     """
     numeric = numeric_columns(df)
     if not numeric:
         raise ProgressiveError("calibration needs a numeric column")
-    plain = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType))]
-    groups = (plain + numeric)[:n_groups]
+    plain = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType)) and f.name != PARTITION]
+    groups = (plain + [c for c in numeric if c != numeric[0]])[: max(n_groups, len(dimensions))]
     rows, size, seen = df.count(), first_size, set()
     for _ in range(MOST_SIZES):
-        sample = df.limit(size)
+        sample = df
+        if size < rows:
+            mark = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 30))
+            sample = df.where(mark < F.lit(int((1 << 30) * size / rows)))
+        for k, (fk, table) in enumerate(dimensions):
+            other = table.select(F.col(fk.ref_column).alias(f"_ref{k}"))
+            sample = sample.join(other, sample[fk.column] == other[f"_ref{k}"])
         began = time.perf_counter()
         for _ in range(RUNS):
             sample.groupBy(*groups).agg(F.avg(numeric[0])).write.format("noop").mode("overwrite").save()

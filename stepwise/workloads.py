@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .errors import ProgressiveError
 from .session import ForeignKey, ProgressiveSession
 from .sources.prepare import PARTITION, assign
+from .streaming.state import new_folder
+from .streaming.stepper import Snapshot
 
 #: Partitions of the fact tables, and the expressions that deal them out.
 P = 10
@@ -75,7 +77,8 @@ _latest: list[tuple] = []
 def session(spark: SparkSession, sf_dir: str, kind: str = "main") -> ProgressiveSession:
     """A session with the tables of ``sf_dir`` prepared; made once for each Spark application.
 
-    ``main``: facts li, ev and flat, dimensions whole; ``product``: li in 3 and suppliers in 2 partitions.
+    ``main``: facts li, ev and flat, dimensions whole; ``product``: li in 3 and suppliers in 2 partitions;
+    ``stored``: li in partitions that are written, for the mode that reads one after the other.
     """
     at = spark.sparkContext.applicationId, sf_dir, kind
     if at in _sessions:
@@ -95,6 +98,8 @@ def session(spark: SparkSession, sf_dir: str, kind: str = "main") -> Progressive
     if kind == "product":
         s.prepare_table("li", partitions=3, strategy="expr", key=LINE_KEY)
         s.prepare_dimension("supplier_geo", partitions=2, strategy="expr", key="s_key")
+    elif kind == "stored":
+        s.prepare_table("li", partitions=P, strategy="expr", key=LINE_KEY, path=new_folder(spark, "prepared"))
     else:
         s.register("flat", spark.sql(FLAT))
         s.prepare_table("li", partitions=P, strategy="expr", key=LINE_KEY)
@@ -125,7 +130,6 @@ def snapshots_sql(
     step: str = f"({LINE_KEY}) % {P}",
     steps: int = P,
     rest: str = "",
-    only_last: bool = False,
     each: str = "q",
 ) -> str:
     """SQL of all snapshots: partial states by step, then every snapshot's states from the steps up to it.
@@ -138,13 +142,11 @@ def snapshots_sql(
     group = ", ".join(["1", *[str(k + 2) for k in range(len(names))]])
     merged = ", ".join([*names, *[f"{'coalesce(sum(' + n + '), 0)' if f == 'count' else ('sum' if f == 'sum' else f) + '(' + n + ')'} AS {n}" for n, (f, _) in states.items()]])
     join = "JOIN" if keys else "LEFT JOIN"
-    last = f"WHERE snap = {steps - 1}" if only_last else ""
     return f"""WITH {_WITH},
     p AS (SELECT {part} FROM {tables} {'WHERE ' + where if where else ''} GROUP BY {group}),
     steps AS (SELECT CAST(unnest(range(0, {steps})) AS INTEGER) AS snap),
-    q0 AS (SELECT snap, (snap + 1)::DOUBLE / {steps}::DOUBLE AS g{', ' + merged if merged else ''} FROM steps {join} p ON p.k <= steps.snap
-        GROUP BY snap{''.join(', ' + n for n in names)}),
-    q AS (SELECT * FROM q0 {last})
+    q AS (SELECT snap, (snap + 1)::DOUBLE / {steps}::DOUBLE AS g{', ' + merged if merged else ''} FROM steps {join} p ON p.k <= steps.snap
+        GROUP BY snap{''.join(', ' + n for n in names)})
     SELECT {', '.join(f'{e} AS {n}' for n, e in shown.items())} FROM {each} {rest}"""
 
 
@@ -207,6 +209,11 @@ for _n, _w, _dw in [
     ("where_similar", "l_returnflag SIMILAR TO '(A|R)%' AND l_linestatus NOT SIMILAR TO 'F_+'", "regexp_matches(l_returnflag, '^(A|R).*$') AND NOT regexp_matches(l_linestatus, '^F.+$')"),
     ("where_any_list", "l_linenumber = ANY (1, 3, 5) AND l_quantity > ALL (5, 10)", "l_linenumber IN (1, 3, 5) AND l_quantity > 10"),
     ("where_any_query", "l_quantity > SOME (SELECT l_quantity + 20 FROM li) AND l_suppkey <> ALL (SELECT s_key FROM supplier_geo WHERE s_region = 'ASIA')", "l_quantity > (SELECT min(l_quantity) + 20 FROM li) AND l_suppkey NOT IN (SELECT s_key FROM supplier_geo WHERE s_region = 'ASIA')"),
+    ("where_all_null", "l_quantity > ALL (SELECT nullif(n_nationkey, 3) FROM nation WHERE n_nationkey < 6) OR l_linenumber = 1 AND l_quantity > ALL (SELECT n_nationkey FROM nation WHERE n_nationkey < 6) OR l_linenumber = 2 AND l_tax <> ALL (SELECT n_regionkey FROM nation WHERE n_nationkey < 0)", "l_linenumber = 1 AND l_quantity > 5 OR l_linenumber = 2"),
+    ("where_any_null", "l_linenumber < 3 AND l_quantity < ANY (SELECT nullif(n_nationkey, 3) FROM nation) OR l_linenumber = 3 AND NOT (l_quantity > SOME (SELECT nullif(n_nationkey, 0) FROM nation)) OR l_linenumber = 4 AND NOT (l_quantity >= SOME (SELECT n_nationkey + 20 FROM nation))", "l_linenumber < 3 AND l_quantity < 24 OR l_linenumber = 4 AND l_quantity < 20"),
+    ("where_like_escape", "l_returnflag NOT LIKE '!_' ESCAPE '!' AND l_linestatus LIKE 'F' ESCAPE '!'", "l_linestatus = 'F'"),
+    ("where_difference", "(l_shipdate - TIMESTAMP '1995-01-01 00:00:00') DAY >= INTERVAL '500' DAY AND (l_shipdate - TIMESTAMP '1995-01-01 00:00:00') YEAR < INTERVAL '3' YEAR", "l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' + INTERVAL 500 DAY AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'"),
+    ("where_field", "named_struct('q', l_quantity, 't', l_tax).q > 30", "l_quantity > 30"),
     ("where_row", "ROW(l_linenumber, l_returnflag) = ROW(1, 'A')", "l_linenumber = 1 AND l_returnflag = 'A'"),
     ("where_interval", "l_shipdate + INTERVAL 30 DAYS > TIMESTAMP '1998-09-02 00:00:00'", "l_shipdate + INTERVAL 30 DAY > TIMESTAMP '1998-09-02 00:00:00'"),
     ("where_item", "array(l_quantity, l_tax)[1] > 0.03", "l_tax > 0.03"),
@@ -230,6 +237,14 @@ _spec("prog_cube", "l_returnflag, l_linestatus, count(*) AS n FROM li GROUP BY C
       each="(SELECT snap, a, b, sum(c)::DOUBLE / any_value(g) AS n FROM q GROUP BY GROUPING SETS ((snap, a, b), (snap, a), (snap, b), (snap)))")
 
 
+_spec("prog_grouping_sets", "l_returnflag, l_linestatus, count(*) AS n FROM li GROUP BY GROUPING SETS ((l_linestatus), (l_returnflag, l_linestatus))",
+      keys={"a": "l_returnflag", "b": "l_linestatus"}, states={"c": N}, shown={"l_returnflag": "a", "l_linestatus": "b", "n": "n"},
+      each="(SELECT snap, a, b, sum(c)::DOUBLE / any_value(g) AS n FROM q GROUP BY GROUPING SETS ((snap, a, b), (snap, b)))")
+for _n in ("DISTINCT", "ALL", "STREAM"):
+    _spec(f"prog_word_{_n.lower()}", f"{_n} l_linestatus FROM li WHERE l_tax > 0.01", where="l_tax > 0.01",
+          keys={"l_linestatus": "l_linestatus"}, states={}, shown={"l_linestatus": "l_linestatus"})
+
+
 def _star(dims: str, where: str) -> tuple[str, str]:
     return ", ".join(["li", *[_STAR[d][0] for d in dims]]), " AND ".join([*[_STAR[d][1] for d in dims], where])
 
@@ -246,6 +261,9 @@ _spec("prog_join_on", "count(*) AS n, p_category FROM li JOIN part_dim ON l_part
       tables="li, part_dim", where="l_partkey = p_key AND l_tax > 0.03", keys={"p_category": "p_category"}, states={"c": N}, shown={"n": COUNT.format("c"), "p_category": "p_category"})
 _spec("prog_join_theta", "count(*) AS n, r_name FROM li, region WHERE l_linenumber > r_regionkey AND l_quantity < 5 GROUP BY r_name",
       tables="li, region", where="l_linenumber > r_regionkey AND l_quantity < 5", keys={"r_name": "r_name"}, states={"c": N}, shown={"n": COUNT.format("c"), "r_name": "r_name"})
+_spec("prog_join_self", "sum(l_quantity) AS q, b.s_nation AS nation FROM li, supplier_geo AS a, supplier_geo AS b WHERE l_suppkey = a.s_key AND a.s_nation = b.s_nation AND b.s_city LIKE '%1' GROUP BY b.s_nation",
+      tables="li, supplier_geo AS a, supplier_geo AS b", where="l_suppkey = a.s_key AND a.s_nation = b.s_nation AND b.s_city LIKE '%1'", keys={"nation": "b.s_nation"},
+      states={"s": QTY}, shown={"q": SUM.format("s"), "nation": "nation"})
 _spec("prog_join_product", "sum(l_quantity) AS q, s_region, progressive_partition() AS part FROM li, supplier_geo WHERE l_suppkey = s_key GROUP BY s_region",
       tables="li, supplier_geo", where="l_suppkey = s_key", keys={"s_region": "s_region"}, states={"s": QTY}, step=f"({LINE_KEY}) % 3 + 3 * (s_key % 2)", steps=6,
       shown={"q": SUM.format("s"), "s_region": "s_region", "part": PART_NO})
@@ -260,9 +278,9 @@ for _n, (_d, _m, _k, _w, _o) in SSB.items():
           tables=_t, where=_c, keys=_ids, states={"t": ("sum", _m)}, shown={"revenue": SUM.format("t"), "part": PART_NO} | _ids)
     _fw = _w.replace("BETWEEN 36 AND 40", "BETWEEN 26 AND 35")
     _spec(f"ssbflat_q{_n}", f"{_cols} FROM flat WHERE {_fw}{_tail}",
-          tables="flat", where=_fw, keys=_ids, states={"t": ("sum", _m)}, shown={"revenue": SUM.format("t")} | _ids, only_last=True)
+          tables="flat", where=_fw, keys=_ids, states={"t": ("sum", _m)}, shown={"revenue": SUM.format("t")} | _ids)
 #: Queries of which only the last snapshot is taken.
-FINAL = {"final_exact"} | {f"ssbflat_q{n}" for n in SSB}
+FINAL = {"final_exact"}
 SPECS["final_exact"] = (
     "SELECT PROGRESSIVE l_returnflag, l_linestatus, sum(l_quantity) AS q, avg(l_extendedprice) AS a, count(*) AS n FROM li GROUP BY l_returnflag, l_linestatus",
     f"WITH {_WITH} SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS q, sum(l_extendedprice)::DOUBLE / count(l_extendedprice)::DOUBLE AS a, count(*)::DOUBLE AS n FROM li GROUP BY ALL",
@@ -320,6 +338,8 @@ _view("view_outer_topk", _OUT, "l_linenumber, l_returnflag, n FROM {v} ORDER BY
       shown={"l_linenumber": "l_linenumber", "l_returnflag": "l_returnflag", "n": COUNT.format("c")})
 _view("view_columns", "l_returnflag, count(*) FROM li GROUP BY l_returnflag", "flag, total FROM {v} WHERE flag <> 'R'",
       keys=_F, states={"c": N}, rest="WHERE l_returnflag <> 'R'", shown={"flag": "l_returnflag", "total": COUNT.format("c")})
+_view("view_ordered", "l_linenumber, count(*) AS n FROM li GROUP BY l_linenumber ORDER BY n DESC", "l_linenumber, n FROM {v} ORDER BY l_linenumber",
+      keys={"l_linenumber": "l_linenumber"}, states={"c": N}, shown={"l_linenumber": "l_linenumber", "n": COUNT.format("c")})
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 _view("demo_view_origin", "avg(cents) AS a, event_type FROM ev WHERE " + " OR ".join(f"(event_type = '{t}') FUTURE" for t in _TYPES) + " GROUP BY event_type",
       "* FROM {v} WITH FUTURE WHERE event_type = 'click', event_type = 'view'", **_EV, where="event_type IN ('click', 'view')",
@@ -328,6 +348,18 @@ _view("demo_view_time", "avg(cents) AS a, dow FUTURE, hr FUTURE FROM ev WHERE "
       "* FROM {v} WITH FUTURE WHERE event_type <> 'error' WITH FUTURE GROUP BY dow", **_EV, where="event_type <> 'error'",
       keys={"dow": "dow"}, shown={"a": AVG.format("s", "n"), "dow": "dow"})
 
+# nine groups of twelve predicates, of which some groups are switched on in part, and 39 predicates that all hold for most rows
+_WIDE = [f"(hr * {a} + dow * {b}) % 12" for a, b in ((1, 0), (1, 1), (5, 2), (0, 1), (7, 3), (1, 5), (11, 1), (5, 7), (1, 11))]
+_ON = {0: (1, 2, 3, 8), 3: (0, 5, 6), 8: (2, 4, 9, 11, 1, 0)}
+_view("demo_view_and_of_ors", "avg(cents) AS a, count(*) AS n FROM ev WHERE " + " AND ".join("(" + " OR ".join(f"({e} = {k}) FUTURE" for k in range(12)) + ")" for e in _WIDE),
+      "* FROM {v} WITH FUTURE WHERE " + ", ".join(f"{_WIDE[j]} = {k}" for j, ks in _ON.items() for k in ks), tables="ev", step=f"event_id % {P}",
+      states={"s": ("sum", "cents"), "n": ("count", "cents"), "c": N}, where=" AND ".join(f"{_WIDE[j]} IN ({', '.join(map(str, ks))})" for j, ks in _ON.items()),
+      shown={"a": AVG.format("s", "n"), "n": COUNT.format("c")})
+_MANY = [*[f"hr <> {k}" for k in range(24)], *[f"dow <> {k}" for k in range(1, 8)], *[f"event_type <> '{t}'" for t in _TYPES], "cents > 100", "cents < 9000", "user_id % 3 < 2"]
+_view("demo_view_39_ands", "avg(cents) AS a, dow FUTURE, event_type FUTURE FROM ev WHERE " + " AND ".join(f"({p}) FUTURE" for p in _MANY) + " GROUP BY dow FUTURE, event_type FUTURE",
+      "* FROM {v} WITH FUTURE WHERE " + ", ".join(_MANY[3:39:5]) + " WITH FUTURE GROUP BY dow, event_type", **_EV, where=" AND ".join(_MANY[3:39:5]),
+      keys={"dow": "dow", "event_type": "event_type"}, shown={"a": AVG.format("s", "n"), "dow": "dow", "event_type": "event_type"})
+
 #: Plain SQL that is passed through.
 PLAIN = {
     "passthrough_sql": "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag",
@@ -381,32 +413,33 @@ def prepare_fk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.catalog.partitions_df(spark).groupBy("src_table", "fact").agg(F.count(F.lit(1)).alias("parts"), F.sum("entries").alias("total"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    import uuid
-
-    from .streaming.state import shared_folder
-
+def _streamed(spark: SparkSession, sf_dir: str, partitions: int, key: str) -> list[Snapshot]:
     s = ProgressiveSession(spark)
     s.register("li", session(spark, sf_dir).tables["li"])
-    path = f"{shared_folder(spark)}/prepared-{uuid.uuid4().hex}"
-    s.prepare_table("li", partitions=4, strategy="expr", key=LINE_KEY, path=path)
+    path = new_folder(spark, "prepared")
+    s.prepare_table("li", partitions=partitions, strategy="expr", key=key, path=path)
     return list(s.sql(SPECS["final_exact"][0]).stream(path))
 
 
 def stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last snapshot of a file stream over the prepared table."""
-    return _streamed(spark, sf_dir)[-1].df
+    return _streamed(spark, sf_dir, 4, LINE_KEY)[-1].df
+
+
+def stream_empty_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where four of six partitions are empty."""
+    return _streamed(spark, sf_dir, 6, "3 * l_linenumber")[-1].df
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partition, progress and number of groups of each snapshot of the stream."""
-    shots = _streamed(spark, sf_dir)
+    shots = _streamed(spark, sf_dir, 4, LINE_KEY)
     return spark.createDataFrame([(x.partition, x.progress, x.df.count()) for x in shots], "part int, progress double, n_groups long")
 
 
 def iterate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All snapshots of the flagship query, each from a job of its own."""
-    shots = [x.df for x in session(spark, sf_dir).sql(SPECS["prog_group_flag"][0]).snapshots()]
+    shots = [x.df for x in session(spark, sf_dir, "stored").sql(SPECS["prog_group_flag"][0]).snapshots()]
     out = shots[0]
     for df in shots[1:]:
         out = out.unionByName(df)
@@ -414,12 +447,14 @@ def iterate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All snapshots of a reader that follows a running view."""
-    s, (define, read, _) = session(spark, sf_dir), VIEWS["view_future_group_one"]
+    """All snapshots of a running view: those before a reader came from the view, the others as it follows."""
+    s, (define, read, _) = session(spark, sf_dir, "stored"), VIEWS["view_future_group_one"]
     s.sql(f"CREATE OR REPLACE PROGRESSIVE VIEW v_live AS SELECT {define}")
-    out = None
-    for x in s.sql(read.format(v="v_live")).snapshots():
-        out = x.df if out is None else out.unionByName(x.df)
+    reader = s.sql(read.format(v="v_live"))
+    shots = list(reader.snapshots())
+    out = reader.batch(ordered=False).where(f"part < {shots[0].partition}")
+    for x in shots:
+        out = out.unionByName(x.df)
     return out
 
 
@@ -434,7 +469,9 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         UNION ALL SELECT 'supplier_geo', false, CAST(ceil(count(*) / 1000.0) AS BIGINT), count(*) FROM supplier
         UNION ALL SELECT 'part_dim', false, CAST(ceil(count(*) / 1000.0) AS BIGINT), count(*) FROM part"""),
     "stream_final": (stream_final, SPECS["final_exact"][1]),
-    "stream_progress": (stream_progress, None),
+    "stream_empty_partitions": (stream_empty_partitions, SPECS["final_exact"][1]),
+    "stream_progress": (stream_progress, f"""WITH {_WITH}, g AS (SELECT DISTINCT ({LINE_KEY}) % 4 AS k, l_returnflag, l_linestatus FROM li)
+        SELECT CAST(p AS INTEGER) AS part, p::DOUBLE / 4 AS progress, (SELECT count(DISTINCT (l_returnflag, l_linestatus)) FROM g) AS n_groups FROM range(1, 5) t(p)"""),
     "iterate_steps": (iterate_steps, SPECS["prog_group_flag"][1]),
     "view_live": (view_live, VIEWS["view_future_group_one"][2]),
 }
