@@ -2,12 +2,15 @@
 
 For every language a bounded sample of labelled text is turned into a suffix automaton, which
 recognises exactly the substrings of the sample.  A text is cut greedily into the longest phrases
-that occur in the sample; a language is the likelier the fewer phrases it needs, each weighted with
-the logarithm of the sample's length (the cost of pointing into it).  The cheapest language wins.
-
-Greedy parsing only ever restarts at the root, so the automaton becomes a table: state and symbol
-give the next state and whether a phrase has ended.  All texts of a batch and all languages step
-through their tables together, one symbol at a time, as numpy operations.
+that occur in the sample; a letter that the sample lacks is a phrase of its own.  A language is the
+likelier the fewer phrases it needs, each weighted with the logarithm of the sample's length (the
+cost of pointing into it).  The cheapest language wins.
+
+Greedy parsing only ever restarts at the root, so the automaton becomes a transition table, packed
+into one array by row displacement.  Texts are parsed whole but not one letter after the other: all
+blocks of all texts are parsed at once as if each began a text.  Then the true state in which the
+parser enters a block is followed until it meets the state assumed there, which takes a few phrases;
+what follows is the same.  A block in which they never meet hands its new end to the next one.
 """
 
 from __future__ import annotations
@@ -15,59 +18,66 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sample of a language: at most so many documents and characters, so many characters of each document.
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 96, 12_000, 250
-#: At most so many languages can be learned.
+#: Sample of a language: at most about so many documents, so many letters of each from a place that the id's hash names.
+SAMPLE_DOCS, DOC_CHARS = 96, 1_000
+#: At most so many languages can be learned; more are an error.
 MAX_LANGUAGES = 64
-#: Texts are parsed in blocks of so many symbols; a phrase ends where its block does.
-BLOCK = 512
-#: Blocks that step together.
-LANES = 8_192
+#: Letters of a text that are parsed in one go, and blocks that step together.
+BLOCK, LANES = 512, 4_096
 #: Cost (nats a symbol) above which no language fits, and a text counts as rejected.
 MAX_COST = 6.0
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    """Samples of the languages; the tables are built where they are used, once in a process."""
-
-    samples: dict[str, str]
-    _built: tuple | None = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {"samples": self.samples, "_built": None}
+    """The parsers of all languages in common arrays.
 
+    A state is a number; ``base[state] + symbol`` is a place, which belongs to the state if ``owner`` says
+    so and then has the next state in ``target``.  ``starts`` has each language's first state, ``costs``
+    what a phrase costs, ``codes`` the symbol of each character, 0 for one that no sample has.
+    """
 
-_BUILT: dict[tuple, tuple] = {}
+    languages: tuple[str, ...]
+    codes: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    starts: np.ndarray
+    costs: np.ndarray
 
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+@cache
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are no letters (Unicode category L)."""
+    digits = [chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    return re.compile("[\\W_" + "".join(digits) + "]+")
 
 
 def normalise(text: str) -> str:
     """Lower case, with every run of characters that are not letters as one space."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip(" ")
+    return _not_letters().sub(" ", text.lower()).strip(" ")
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols``: a row for each state, -1 for none."""
-    step: list[list[int]] = [[-1] * width]
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``symbols``; state 0 is the root."""
+    step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
     for c in symbols:
         new = len(step)
-        step.append([-1] * width)
+        step.append({})
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and step[at][c] < 0:
+        while at >= 0 and c not in step[at]:
             step[at][c] = new
             at = link[at]
         if at >= 0:
@@ -76,113 +86,202 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                 link[new] = to
             else:
                 split = len(step)
-                step.append(step[to][:])
+                step.append(dict(step[to]))
                 length.append(length[at] + 1)
                 link.append(link[to])
-                while at >= 0 and step[at][c] == to:
+                while at >= 0 and step[at].get(c) == to:
                     step[at][c] = split
                     at = link[at]
                 link[to] = link[new] = split
         last = new
-    return np.array(step, dtype=np.int32)
+    return step
 
 
-def parsing_table(symbols: list[int], width: int, offset: int) -> np.ndarray:
-    """The greedy parser as a flat table: entry ``2 * next + ended`` at ``state + symbol``.
+def pack(automata: list[list[dict[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(base, owner, target, first states): the transitions of all automata in one array.
 
-    States are numbered by their row's place in the joint table of all languages, which starts at
-    ``offset``.  A symbol that the sample lacks is a phrase of its own.
+    Each state's row is laid where its symbols meet free places, the fullest rows first; rows of one
+    symbol fill the gaps.
     """
-    step = suffix_automaton(symbols, width).astype(np.int64)
-    root = np.where(step[0] >= 0, step[0], 0)
-    ended = step < 0
-    following = np.where(ended, root[None, :], step)
-    return (((following * width + offset) << 1) | ended).ravel()
-
-
-def build(model: Model) -> tuple:
-    """(languages, code of each character up to U+FFFF, joint table, start states, phrase costs)."""
-    key = tuple(sorted(model.samples.items()))
-    if key not in _BUILT:
-        letters = sorted({c for t in model.samples.values() for c in t if ord(c) < 0x10000})
-        width = len(letters) + 1
-        codes = np.zeros(0x10000, dtype=np.uint16)  # 0: a letter that no sample has
-        for k, c in enumerate(letters):
-            codes[ord(c)] = k + 1
-        languages, tables, starts, costs, offset = [], [], [], [], 0
-        for name, text in key:
-            symbols = [int(codes[ord(c)]) if ord(c) < 0x10000 else 0 for c in text]
-            part = parsing_table(symbols, width, offset)
-            languages.append(name)
-            tables.append(part)
-            starts.append(offset)
-            costs.append(math.log(max(2, len(symbols))))
-            offset += len(part)
-        kind = np.int32 if 2 * offset < 2**31 else np.int64
-        _BUILT.clear()
-        _BUILT[key] = languages, codes, np.concatenate(tables).astype(kind), np.array(starts), np.array(costs)
-    return _BUILT[key]
-
-
-def phrase_costs(model: Model, texts: list[str]) -> np.ndarray:
-    """Cost in nats a symbol of each normalised text (rows) under each language (columns)."""
-    languages, codes, joint, starts, costs = build(model)
-    n_lang = len(languages)
-    totals = np.zeros((len(texts), n_lang))
+    firsts, rows = [], []
+    for step in automata:
+        firsts.append(len(rows))
+        rows += [{c: to + firsts[-1] for c, to in r.items()} for r in step]
+    size = sum(map(len, rows)) + 2 * width + 1
+    base, owner, target = np.zeros(len(rows), dtype=np.int32), [-1] * size, [0] * size
+    by_size = sorted(range(len(rows)), key=lambda s: -len(rows[s]))
+    free, at = 0, 0
+    for state in by_size:
+        row = rows[state]
+        if not row:
+            break
+        symbols = list(row)
+        if len(symbols) == 1:
+            while owner[free] >= 0 or free < width:
+                free += 1
+                if free >= len(owner):
+                    owner.append(-1)
+                    target.append(0)
+            offset = free - symbols[0]
+        else:
+            low = min(symbols)
+            offset = max(0, at - low)
+            tries = 0
+            while True:
+                while offset + width >= len(owner):
+                    owner += [-1] * size
+                    target += [0] * size
+                if all(owner[offset + c] < 0 for c in symbols):
+                    break
+                offset += 1
+                tries += 1
+            if tries > 4 * width:  # what lies before is full but for small gaps
+                at = offset + low
+        base[state] = offset
+        for c in symbols:
+            owner[offset + c], target[offset + c] = state, row[c]
+    # a state without transitions must not own a place, nor reach beyond the end
+    end = max((k for k, s in enumerate(owner) if s >= 0), default=0) + width + 1
+    owner += [-1] * max(0, end - len(owner))
+    target += [0] * max(0, end - len(target))
+    return base, np.array(owner[:end], dtype=np.int32), np.array(target[:end], dtype=np.int32), firsts
+
+
+def build(samples: dict[str, str]) -> Model:
+    """The parsers of the languages' samples, which are normalised texts."""
+    letters = sorted({c for t in samples.values() for c in t})
+    codes = np.zeros(0x110000, dtype=np.int32 if len(letters) > 60_000 else np.uint16)
+    for k, c in enumerate(letters):
+        codes[ord(c)] = k + 1
+    names = sorted(samples)
+    automata = [suffix_automaton(codes[np.frombuffer(samples[n].encode("utf-32-le"), dtype=np.uint32)].tolist()) for n in names]
+    base, owner, target, firsts = pack(automata, len(letters) + 1)
+    costs = [math.log(max(2, len(samples[n]))) for n in names]
+    return Model(tuple(names), codes, base, owner, target, np.array(firsts, dtype=np.int32), np.array(costs))
+
+
+def _step(model: Model, roots: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next state, phrases ended) of parsers whose roots are ``roots``."""
+    at = model.base[state] + symbol
+    known = model.owner[at] == state
+    if known.all():
+        return model.target[at], np.zeros(state.shape, dtype=np.int32)
+    again = model.base[roots] + symbol
+    starts = model.owner[again] == roots
+    # a phrase ends before a letter that cannot follow; a letter that no phrase begins with is one itself
+    ended = np.where(known, 0, (state != roots).astype(np.int32) + ~starts)
+    return np.where(known, model.target[at], np.where(starts, model.target[again], roots)), ended
+
+
+def phrases(model: Model, texts: list[str]) -> np.ndarray:
+    """The number of phrases of each normalised text (rows) in each language (columns)."""
+    n_lang = len(model.languages)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    symbols = codes[np.where(raw < 0x10000, raw, 0)]
+    symbols = model.codes[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)].astype(np.int32)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(texts)), blocks)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
     length = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
+    ends = np.empty((n_lang, len(owner)), dtype=np.int32)
+    counts = np.zeros((n_lang, len(owner)), dtype=np.int64)
     order = np.argsort(-length, kind="stable")
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
         lane_begin, lane_length = begin[lanes], length[lanes]
-        state = np.repeat(starts[:, None], len(lanes), axis=1).astype(np.int64)
-        phrases = np.zeros((n_lang, len(lanes)), dtype=np.int64)
+        state = np.repeat(model.starts[:, None], len(lanes), axis=1)
+        ended = np.zeros((n_lang, len(lanes)), dtype=np.int32)
         # lanes are in falling order of length, so those still at work are the first ones
         alive = np.searchsorted(-lane_length, -np.arange(lane_length[0]), side="left")
         for t, n in enumerate(alive):
-            state_n = state[:, :n]
-            moved = joint[state_n + symbols[lane_begin[:n] + t]]
-            phrases[:, :n] += moved & 1
-            state[:, :n] = moved >> 1
-        phrases += 1  # the phrase in which the block ends
-        for k in range(n_lang):
-            totals[:, k] += np.bincount(owner[lanes], weights=phrases[k], minlength=len(texts))
-    return totals * costs[None, :] / np.maximum(sizes, 1)[:, None]
+            roots = np.broadcast_to(model.starts[:, None], (n_lang, n))
+            state[:, :n], now = _step(model, roots, state[:, :n], symbols[lane_begin[:n] + t])
+            ended[:, :n] += now
+        ends[:, lanes], counts[:, lanes] = state, ended
+    _connect(model, symbols, begin, length, nth, ends, counts)
+    out = np.zeros((len(texts), n_lang), dtype=np.int64)
+    last = np.cumsum(blocks) - 1
+    for k in range(n_lang):
+        out[:, k] = np.bincount(owner, weights=counts[k], minlength=len(texts))
+        some = sizes > 0
+        out[some, k] += ends[k, last[some]] != model.starts[k]  # the phrase in which the text ends
+    return out
+
+
+def _connect(model: Model, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, nth: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+    """Correct ``counts`` and ``ends`` of blocks, parsed as if they began a text, for the states they are entered in."""
+    assumed, assumed_ends = counts.copy(), ends.copy()
+    changed = np.ones(ends.shape, dtype=bool)  # whose end the next block hasn't seen
+    while True:
+        lang, block = np.nonzero(changed[:, :-1] & (nth[1:] > 0))
+        if not len(lang):
+            return
+        changed[:] = False
+        block = block + 1
+        roots = model.starts[lang]
+        true, other = ends[lang, block - 1], roots.copy()
+        delta = np.zeros(len(lang), dtype=np.int64)
+        live = np.flatnonzero(true != other)
+        settled = np.ones(len(lang), dtype=bool)
+        for t in range(BLOCK):
+            live = live[(length[block[live]] > t)]
+            if not len(live):
+                break
+            symbol = symbols[begin[block[live]] + t]
+            true[live], more = _step(model, roots[live], true[live], symbol)
+            other[live], less = _step(model, roots[live], other[live], symbol)
+            delta[live] += more - less
+            apart = true[live] != other[live]
+            # a block that ends before the two have met has another end than assumed
+            over = apart & (length[block[live]] == t + 1)
+            settled[live[over]] = False
+            live = live[apart & ~over]
+        counts[lang, block] = assumed[lang, block] + delta
+        end = np.where(settled, assumed_ends[lang, block], true)
+        changed[lang, block] = end != ends[lang, block]
+        ends[lang, block] = end
+
+
+def phrase_costs(model: Model, texts: list[str]) -> np.ndarray:
+    """Cost in nats a symbol of each normalised text (rows) under each language (columns)."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    return phrases(model, texts) * model.costs[None, :] / np.maximum(sizes, 1)[:, None]
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Sample each language of ``labelled``.
+    """Learn each language of ``labelled`` from a sample.
 
     The labels are counted over all rows; more than ``MAX_LANGUAGES`` are an error.  Of each language
-    about ``SAMPLE_DOCS`` documents with the smallest id hashes are fetched, a bounded number of
-    characters of each.  Rows without label, text or letters teach nothing.
+    about ``SAMPLE_DOCS`` documents with the smallest hashes of id and text are fetched, or rather a
+    passage of ``DOC_CHARS`` letters of each, which begins where the hash says.  Rows without label,
+    text or letters teach nothing; rows that repeat teach once.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return Model({})
-    # ids are hashed to 0..2^32-1; a language of n rows keeps the hashes below 2^32 * SAMPLE_DOCS / n
-    mark = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(2**32))
+        return build({})
+    # hashes are 0..2^32-1; a language of n rows keeps those below 2^32 * SAMPLE_DOCS / n
+    mark = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(2**32))
     bound: Column = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], int(2**32 * min(1.0, SAMPLE_DOCS / r[1])))])
+    taken = 2 * DOC_CHARS
+    place = F.pmod(F.col("mark"), F.greatest(F.length("text") - taken, F.lit(0)) + 1).cast("int")
     sample = (
         rows.select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.col(text_col).alias("text"))
         .where(F.col("mark") <= bound[F.col("lang")])
-        .select("lang", "mark", F.substring("text", 1, 2 * DOC_CHARS).alias("text"))
+        .select("lang", "mark", F.substring("text", place + 1, F.lit(taken)).alias("text"))
+        .groupBy("lang", "mark")
+        .agg(F.min("text").alias("text"))  # rows that repeat have one hash, so there are about SAMPLE_DOCS of a language
+        .orderBy("mark", "lang")
+        .limit(4 * SAMPLE_DOCS * len(sizes))
         .collect()
     )
     texts: dict[str, list[str]] = {}
-    for row in sorted(sample, key=lambda r: (r.mark, r.text)):
+    for row in sample:
         texts.setdefault(row.lang, []).append(normalise(row.text)[:DOC_CHARS])
-    joined = {lang: " ".join(dict.fromkeys(t for t in parts if t))[:SAMPLE_CHARS] for lang, parts in texts.items()}
-    return Model({lang: text for lang, text in joined.items() if text})
+    joined = {lang: " ".join(dict.fromkeys(t for t in parts if t)) for lang, parts in texts.items()}
+    return build({lang: text for lang, text in joined.items() if text})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
@@ -201,13 +300,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept = [c for c in docs.columns if c.lower() not in added] if keep_rows else [id_col]
     at = kept.index(text_col) if text_col in kept else len(kept)  # the text travels once
     chosen = docs.select(*kept, *([] if at < len(kept) else [F.col(text_col).alias("_text")]))
-    names = sorted(model.samples)
+    names = model.languages
+    # some ten bytes for each letter learned, of which there are SAMPLE_DOCS * DOC_CHARS a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
                 texts = [normalise(t) if t else "" for t in part.column(at).to_pylist()]
-                cost = phrase_costs(model, texts) if names else np.zeros((len(texts), 0))
+                cost = phrase_costs(shared.value, texts) if names else np.zeros((len(texts), 0))
                 best, score, least = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
                 for k, t in enumerate(texts):
                     if t and names:
@@ -224,7 +325,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(run, f"{fields}, lang_pred string, score double, cost double")
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about ``most`` bytes, so that memory stays bounded."""
     rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
