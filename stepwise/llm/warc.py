@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Headers that a not-modified answer may update (HTTP semantics, section on 304).  Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: URLs of more captures than this are cut into so many slices of time.
+#: URLs of more captures than this are cut into slices of time of about so many each, at most so many slices.
 SLICE_ROWS, SLICES = 4_096, 512
 
 
@@ -54,14 +54,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     if there is none), ``state`` (``resolved``, ``no-response`` or ``validator-mismatch``), ``headers``
     (merged if resolved, else the revisit's) and ``body`` (null unless resolved).
 
-    A strong comparison: if both have an ETag, these must be equal up to a ``W/`` mark; if not, and both
-    have Last-Modified, these must be equal; with nothing to compare, a digest header
+    The comparison is the weak one: if both have an ETag, these must be equal up to a ``W/`` mark; if not,
+    and both have Last-Modified, these must be equal; with nothing to compare, a digest header
     (``warc-payload-digest``) of both must be equal where both have it.
 
-    Cases: a response at the revisit's own time counts as earlier only with a smaller record_id; null
-    urls and times are never resolved; null headers are none; header names ignore case; rows that repeat
-    are resolved one by one; an empty table gives an empty result; other columns, whatever their names,
-    are ignored.
+    Cases: times are compared as their type is (text as text); a response at the revisit's own time counts
+    as earlier only with a smaller record_id; a null record_id is smaller than all others and otherwise an
+    id like them; of responses with one id, time and URL the one with the smallest SHA-256 of its body
+    and then the smallest headers counts; null urls and times are never resolved; null headers are none;
+    header names ignore case; rows that repeat are resolved one by one; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     rows = records.select(
         "record_id", "kind", "url", "ts", "status", _lower_keys(F.col("headers")).alias("headers"), "body", canonical_url(F.col("url")).alias("canonical")
@@ -73,11 +75,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "canonical", F.struct("ts", "record_id").alias("at"), F.when(full, F.struct("ts", "record_id")).alias("full")
     ).distinct()
     # The slices of a URL are about equal in number of captures.
-    counts = thin.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") > SLICE_ROWS).select("canonical", "n")
-    cuts = _slice_ends(thin.join(large, "canonical"))
+    cuts = _slice_ends(thin)
     thin = thin.join(cuts, "canonical", "left").withColumn(
-        "slice", F.when(F.col("ends").isNull(), 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("at.ts"))))
+        "slice", F.when(F.col("ends").isNull(), 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("at"))))
     ).drop("ends")
     last = thin.groupBy("canonical", "slice").agg(F.max("full").alias("last"))
     earlier = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,13 +91,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     revisits = rows.where(F.col("kind") == "revisit").drop("kind", "status", "body").withColumnRenamed("headers", "own")
     revisits = revisits.join(
-        found, (revisits["record_id"] == found["rid"]) & (revisits["ts"] == found["rts"]) & (revisits["canonical"] == found["c"]), "left"
+        found, revisits["record_id"].eqNullSafe(found["rid"]) & (revisits["ts"] == found["rts"]) & (revisits["canonical"] == found["c"]), "left"
     ).drop("rid", "rts", "c")
     sources = rows.where(full & known).select(
         F.col("record_id").alias("sid"), F.col("ts").alias("sts"), F.col("canonical").alias("sc"), F.col("headers").alias("theirs"), F.col("body").alias("sbody")
-    ).dropDuplicates(["sid", "sts", "sc"])
+    )
+    order = F.struct(F.sha2(F.col("sbody").cast("binary"), 256), F.array_sort(F.map_entries("theirs")))
+    sources = sources.groupBy("sid", "sts", "sc").agg(F.min_by(F.struct("theirs", "sbody"), order).alias("one")).select("sid", "sts", "sc", "one.*")
     joined = revisits.join(
-        sources, (F.col("source.record_id") == F.col("sid")) & (F.col("source.ts") == F.col("sts")) & (F.col("canonical") == F.col("sc")), "left"
+        sources, F.col("source.record_id").eqNullSafe(F.col("sid")) & (F.col("source.ts") == F.col("sts")) & (F.col("canonical") == F.col("sc")), "left"
     )
     bare = lambda m: F.regexp_replace(F.col(m)["etag"], "^W/", "")
     same = (
@@ -108,7 +110,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         )
         .otherwise(F.coalesce(F.col("own")["warc-payload-digest"] == F.col("theirs")["warc-payload-digest"], F.lit(True)))
     )
-    state = F.when(F.col("sid").isNull(), "no-response").when(same, "resolved").otherwise("validator-mismatch")
+    state = F.when(F.col("sbody").isNull(), "no-response").when(same, "resolved").otherwise("validator-mismatch")
     permitted = F.array(*map(F.lit, PERMITTED))
     update = F.map_filter("own", lambda k, v: F.array_contains(permitted, k))
     keep = F.map_filter("theirs", lambda k, v: ~F.array_contains(F.map_keys(update), k))
@@ -125,10 +127,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
 
 
-def _slice_ends(large: DataFrame) -> DataFrame:
-    """(canonical, ends): for each of the URLs, which have n captures, times that part its slices.
+def _slice_ends(thin: DataFrame) -> DataFrame:
+    """(canonical, ends): for each URL of more than ``SLICE_ROWS`` captures, captures that part its slices.
 
-    The quantiles are estimated from a mergeable summary, so no task holds a URL's captures.
+    They are chosen by their hashes, about as many as there are to be slices.  Whatever type times and ids
+    have, a task holds no more of a URL than these.
     """
-    quantiles = F.percentile_approx(F.col("at.ts"), F.lit([k / SLICES for k in range(1, SLICES)]), F.lit(4 * SLICES))
-    return large.groupBy("canonical").agg(F.array_distinct(quantiles).alias("ends"))
+    large = thin.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE_ROWS)
+    share = F.least(F.lit(float(SLICES)), F.col("n") / SLICE_ROWS) / F.col("n")
+    mark = F.pmod(F.xxhash64("at", "canonical"), F.lit(1 << 30))
+    chosen = thin.join(large, "canonical").where(mark < share * (1 << 30))
+    return chosen.groupBy("canonical").agg(F.array_sort(F.collect_set("at")).alias("ends"))
