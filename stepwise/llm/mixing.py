@@ -10,6 +10,7 @@ prefix of the documents in an order seeded for that leaf's epoch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,9 @@ from .common import checkpoint
 
 #: A table of leaves with at most so many rows is broadcast.
 BROADCAST_LEAVES = 20_000
-#: Hexadecimal digits of the order key that number the pieces in which a leaf is summed.
-BUCKET_DIGITS = 3
+#: Most hexadecimal digits of the order key that number the pieces in which a leaf is summed.  A leaf of n rows
+#: has about sqrt(n) pieces of sqrt(n) rows, within a factor of four.
+MOST_DIGITS = 10
 
 
 def _share(nodes: DataFrame, parent: Sequence[str], child: str) -> DataFrame:
@@ -94,7 +96,8 @@ def mix(
     each of the ``levels`` (a name and its expression, from the root down), ``mix_tokens``,
     ``mix_budget`` (of the leaf) and ``copies``, the number of times the row is taken.
 
-    ``tokens``: tokens of a row; by default a quarter of the text's UTF-8 bytes, rounded up.
+    ``tokens``: tokens of a row; by default a quarter of the text's UTF-8 bytes, rounded up.  A tokenizer's
+    counts are used by counting first, into a column of ``docs`` (``tokens=F.col("n_tokens")``).
     Texts don't move between machines unless there are more than ``BROADCAST_LEAVES`` leaves; the
     leaves are counted first, and more of them are joined by a shuffle.
 
@@ -106,25 +109,26 @@ def mix(
         tokens = F.expr("(coalesce(octet_length(text), 0) + 3) div 4")
     names = [f"mix_{k}" for k in levels]
     added = [*names, "mix_tokens", "mix_budget", "copies"]
-    kept = [c for c in docs.columns if c.lower() not in added]
+    kept = [c for c in docs.columns if c.lower() not in [a.lower() for a in added]]
     rows = docs.select(
         *kept,
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)],
         tokens.cast("long").alias("mix_tokens"),
     )
     narrow = rows.select(F.col(id_col).alias("_id"), *names, "mix_tokens")
-    leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("supply"))
-    plan = leaf_budgets(leaves, names, weights, budget, max_epochs).where("budget > 0").select(
+    leaves = checkpoint(narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("supply"), F.count(F.lit(1)).alias("mix_rows")))
+    plan = leaf_budgets(leaves.drop("mix_rows"), names, weights, budget, max_epochs).where("budget > 0").select(
         *names,
         F.col("budget").alias("mix_budget"),
         F.expr("budget div supply").alias("whole"),
         (F.col("budget") % F.col("supply")).alias("rest"),
     )
-    plan = checkpoint(plan)
+    digits = F.least(F.lit(MOST_DIGITS), F.greatest(F.lit(1), F.round(F.log(F.col("mix_rows").cast("double")) / math.log(256)))).cast("int")
+    plan = checkpoint(plan.join(leaves.select(*names, digits.alias("digits")), names))
     key = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), i.cast("string")))
     # The prefix: pieces of a leaf by the first digits of the key, then rows of the piece where the budget ends.
-    keyed = narrow.join(_sized(plan), names).select(*names, "rest", "mix_tokens", key(F.col("_id")).alias("k"))
-    keyed = keyed.withColumn("piece", F.substring("k", 1, BUCKET_DIGITS))
+    keyed = narrow.join(_sized(plan), names).select(*names, "rest", "mix_tokens", "digits", key(F.col("_id")).alias("k"))
+    keyed = keyed.withColumn("piece", F.expr("substring(k, 1, digits)")).drop("digits")
     pieces = keyed.groupBy(*names, "rest", "piece").agg(F.sum("mix_tokens").alias("n"))
     upto = Window.partitionBy(*names).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("upto", F.sum("n").over(upto))
