@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: The mix of op7 and of the pipeline: shares of the domains and languages, equal shares of sources.
-DOMAIN = "CASE WHEN {s} IS NULL THEN 'none' ELSE concat('group', cast(cast(substring({s}, 4) AS int) % 4 AS {t})) END"
+#: A source without a number, as any other name than ``src7`` or the like, is of domain ``none``.
+DOMAIN = """CASE WHEN {m}(substring({s}, 4), '^[0-9]{{1,9}}$')
+    THEN concat('group', CAST(try_cast(substring({s}, 4) AS int) % 4 AS {t})) ELSE 'none' END"""
 DOMAIN_WEIGHTS = {"group0": 4, "group1": 3, "group2": 2}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
@@ -30,8 +32,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Whether a document is kept from learning: its id's checksum leaves 1 by 3."""
-    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    """Whether a document is kept from learning: its id's checksum leaves 1 by 3; a null id's does not."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def mix_levels() -> tuple[dict, list]:
     pick = lambda c, w: F.coalesce(
         F.create_map(*[F.lit(x) for kv in w.items() for x in kv])[F.col(c)], F.lit(1)
     )
-    domain = F.expr(DOMAIN.format(s="source", t="string"))
+    domain = F.expr(DOMAIN.format(s="source", t="string", m="regexp_like"))
     levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
     return levels, [pick("mix_domain", DOMAIN_WEIGHTS), pick("mix_lang", LANG_WEIGHTS), F.lit(1)]
 
@@ -182,7 +184,7 @@ def _weight_sql(column: str, weights: dict[str, int]) -> str:
 
 
 OP7_SQL = f"""
-WITH docs AS (SELECT doc_id, {DOMAIN.format(s="source", t="varchar")} AS mix_domain, coalesce(lang, '') AS mix_lang,
+WITH docs AS (SELECT doc_id, {DOMAIN.format(s="source", t="varchar", m="regexp_matches")} AS mix_domain, coalesce(lang, '') AS mix_lang,
         coalesce(source, '') AS mix_source, (coalesce(strlen(text), 0) + 3) // 4 AS mix_tokens FROM documents),
     leaves AS (SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens)::BIGINT AS supply,
         (sum(mix_tokens) * 2)::DOUBLE AS cap FROM docs GROUP BY ALL),
