@@ -6,13 +6,12 @@ the next one's ``docs``.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import shared_folder, table
+from stepwise.llm.common import discard, kept, table
 from stepwise.llm.decontaminate import drop_leaks
 from stepwise.llm.langid import has_language, identify, learn
 from stepwise.llm.mixing import mix
@@ -30,14 +29,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (5 words, 0.8).
+    """Keep one document of each group of near copies (5 words, 0.8): that with the smallest id.
 
-    Rows that repeat an id are one document; rows without an id go.
+    Rows of one id are told apart by their texts; of rows with one id and text one stays.  A document
+    without an id stays if no other one is like it; of several the one with the smallest hash of its text.
     """
     groups = similar_groups(docs, words=5, similarity=(80, 100))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # repeated rows of one id are copies, too
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    chosen = groups.where("leads").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = chosen.select(F.col("doc_id").alias("_of"), "text_hash", "_rows")
+    rows = docs.select(*COLUMNS)
+    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_of"]) & (F.xxhash64("text") == chosen["text_hash"]))
+    # texts are shuffled again only where rows repeat
+    again = rows.where("_rows > 1").dropDuplicates(["_of", "text_hash"])
+    return rows.where("_rows = 1").unionByName(again).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each returns is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
-        docs = spark.read.parquet(f"{folder}/{number}")
+    """Apply the stages to ``documents``.
+
+    What each returns is written to the shared folder and read again; it is deleted when the next stage
+    has been written.
+    """
+    docs, spent = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs, folder = kept(stage(spark, docs, sf_dir), "pipeline")
+        if spent:
+            discard(spark, spent)
+        spent = folder
     return docs

@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..streaming.state import checkpoint, discard, new_folder
+
+__all__ = ["checkpoint", "discard", "hub_join", "kept", "new_folder", "prefix_sums", "shuffle_width", "table"]
+
+#: Rows of one key that are not split, unless more than ``MOST_HUBS`` keys had more of them.
+HEAVY, MOST_HUBS = 1_024, 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``, or a temporary one where that
-    setting is missing, as in local tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepwise-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of a shuffle, as the session has them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
+def kept(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """``df`` as a table written to the shared folder, and the table's folder, which ``discard`` deletes."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def hub_join(many: DataFrame, one: DataFrame, on: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join ``many`` (cheap to read again) with ``one``, which has a row for each value of ``on``.
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Partitions of a shuffle, as the session has them."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Rows of ``many`` with a frequent value are dealt out by the hash of ``spread``, and that value's row of
+    ``one`` is repeated for each of their parts.  Frequent is what has more than ``HEAVY`` rows, or so many
+    that at most ``MOST_HUBS`` values can have them, so what is broadcast is bounded.  ``counts``: (on, n).
+    """
+    counts = many.groupBy(on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(on, "n")
+    known = counts.where(F.col(on).isNotNull())
+    total, most = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    heavy = max(HEAVY, total // MOST_HUBS)
+    if most <= heavy:
+        return many.join(one, on, how)
+    hubs = checkpoint(known.where(F.col("n") > heavy).select(on, F.ceil(F.col("n") / heavy).cast("int").alias("_parts")))
+    few = F.broadcast(hubs)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = many.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    copies = one.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [on, "_part"], how).drop("_part")
 
 
 def prefix_sums(df: DataFrame, part: str, values: dict[str, Column], order: list[Column]) -> DataFrame:

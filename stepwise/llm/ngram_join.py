@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join with PartEnum signatures, as connected groups of documents.
 
 1. Every text becomes its set of shingles, a digest of it and a parity sketch; equal sets are one set
-   from here on.
+   from here on.  The digest has 128 bits, of which 64 are the set's key; of keys that two sets turn
+   out to share, the other half becomes a part.
 2. Every set is dealt out by its signatures.  The sets of one signature form a bucket; of buckets with
    the same sets one is kept.
 3. In each bucket the sketches are compared.  A sketch has a bit for each cell of the hashed domain,
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_width
+from .common import checkpoint, hub_join, shuffle_width
 from .graph import connected_components
 from .partenum import signatures
-from .shingles import mix, set_key, shingle_sets
+from .shingles import digest, mix, shingle_sets
 
 #: Sets that meet in one unit of work: at most two blocks of so many.
 BLOCK = 512
@@ -60,22 +61,38 @@ def _fold(words: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
 
 
+def _key(items: np.ndarray, clashes: frozenset[int]) -> int:
+    """The key of a set; ``clashes`` are the first halves of a digest that different sets share."""
+    key, check = digest(items)
+    return key ^ check if key in clashes else key
+
+
 def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(_id, key, n, sketch) of each row of ``docs`` (_id, _text)."""
+    """(_id, key, check, n, sketch) of each row of ``docs`` (_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
                 sets = shingle_sets(part.column(1), words)
-                keys = pa.array([set_key(s) for s in sets], pa.int64())
+                digests = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 sketches = pa.array([sketch(s, num, den) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, sizes, sketches], names=["_id", "key", "n", "sketch"])
+                halves = [pa.array(np.ascontiguousarray(digests[:, h])) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *halves, sizes, sketches], names=["_id", "key", "check", "n", "sketch"])
+
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, key long, check long, n long, sketch binary")
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, key long, n long, sketch binary")
+
+def _distinct_sets(keys: DataFrame) -> DataFrame:
+    """(key, first, n, sketch, low, high) of the different sets; ``first`` is the first row's _id."""
+    return checkpoint(
+        keys.where("n > 0")
+        .groupBy("key")
+        .agg(F.min("_id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high"))
+    )
 
 
-def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _signed(docs: DataFrame, words: int, num: int, den: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """(sign, key): the signatures of each set.  A task gives a set's signatures once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +101,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for part in _pieces(batch):
                 signs, keys = [], []
                 for items in shingle_sets(part.column(0), words):
-                    key = set_key(items)
+                    key = _key(items, clashes)
                     if len(items) and key not in seen:
                         if len(seen) < REMEMBERED:
                             seen.add(key)
@@ -149,17 +166,17 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """(key, items) of the documents of ``ids`` (_id, key); one row for each key.
 
-    Rows of one id may have different texts; only those with the key's own set count.
+    Only texts with the key's own set count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
                 wanted, sets = part.column(0).to_pylist(), shingle_sets(part.column(1), words)
-                own = [k for k, items in enumerate(sets) if set_key(items) == wanted[k]]
+                own = [k for k, items in enumerate(sets) if _key(items, clashes) == wanted[k]]
                 sets = [sets[k] for k in own]
                 sizes = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 items = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
@@ -309,35 +326,47 @@ def similar_groups(
     """Groups of documents linked by a Jaccard similarity of at least ``similarity`` (a fraction).
 
     Returns the id, ``n_shingles`` (size of the set), ``component_id`` (the smallest id reachable by
-    links, itself included) and ``set_key`` (equal for equal sets).
+    links, itself included), ``set_key`` (equal for equal sets), ``text_hash`` (of the text, to tell rows
+    of one id apart) and ``leads``: whether the row is the one that stands for its group, or equal to it.
 
     Cases: null, empty and wordless texts have empty sets and are alone; a text of fewer words than a
-    shingle has one shingle; rows that repeat are rows of one group; rows with a null id come back
-    with a null group; other columns, whatever their names, are ignored; an empty table gives an
-    empty result.  Sets are told apart by a 64-bit digest.
+    shingle has one shingle; rows that repeat are rows of one group, and rows of one id with different
+    texts are documents of their own that share that id; rows with a null id take part and come back with
+    a null component, and stand for their group only if no other does; other columns, whatever their
+    names, are ignored; an empty table gives an empty result.
     """
     num, den = similarity
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    texts = docs.select(own.alias("_id"), F.col(text_col).alias("_text"))
     keys = checkpoint(_keys(texts, words, num, den))
-    first = keys.where("n > 0").groupBy("key").agg(F.min("_id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    buckets = checkpoint(_bucketed(_signed(texts, words, num, den)))
+    first = _distinct_sets(keys)
+    # of n sets about n^2 / 2^65 pairs share a key: none, or a few
+    clashes = frozenset(r.key for r in first.where("low != high").select("key").collect())
+    if clashes:
+        keys = keys.withColumn("key", F.when(F.col("key").isin(*clashes), F.col("key").bitwiseXOR(F.col("check"))).otherwise(F.col("key")))
+        first = _distinct_sets(keys)
+    buckets = checkpoint(_bucketed(_signed(texts, words, num, den, clashes)))
     families = _families(buckets, first.select("key", "n", "sketch"), num, den)
-    members = checkpoint(families.join(first, families["node"] == first["key"]).where("first IS NOT NULL").select("component", "key", F.col("first").alias("_id")))
-    sets = checkpoint(_sets(texts, members.select("_id", "key"), words).join(members.select("component", "key"), "key"))
+    members = checkpoint(families.join(first, families["node"] == first["key"]).select("component", "key", F.col("first").alias("_id")))
+    sets = checkpoint(_sets(texts, members.select("_id", "key"), words, clashes).join(members.select("component", "key"), "key"))
     heads = sets.where("key = component").select("component", F.col("items").alias("head"))
     tied = (F.col("key") == F.col("component")) | _similar("items", "head", num, den)
-    members = checkpoint(sets.join(heads, "component", "left").select("component", "key", "items", F.coalesce(tied, F.lit(False)).cast("int").alias("tied")))
+    with_heads = hub_join(sets, heads, "component", "key", how="left")
+    members = checkpoint(with_heads.select("component", "key", "items", F.coalesce(tied, F.lit(False)).cast("int").alias("tied")))
     links = members.where("tied = 1 AND key != component").select(F.col("component").alias("a"), F.col("key").alias("b"))
-    links = links.unionByName(_rest(members, num, den))
-    # Components over the smallest ids of equal sets.
-    named = lambda c: first.select(F.col("key").alias(c), F.col("first").alias(f"{c}_id"))
-    found = connected_components(links.join(named("a"), "a").join(named("b"), "b"), "a_id", "b_id")
-    of_key = first.join(found, first["first"] == found["node"], "left").select("key", F.coalesce("component", "first").alias("component"))
-    out = keys.join(of_key, "key", "left")
+    found = connected_components(links.unionByName(_rest(members, num, den)))
+    of_key = checkpoint(
+        first.join(found, first["key"] == found["node"], "left").select("key", "first", F.coalesce("component", "key").alias("group"))
+    )
+    leads = of_key.groupBy("group").agg(F.min("first").alias("lead"))
+    of_key = hub_join(of_key.drop("first"), leads, "group", "key").select("key", "lead")
+    out = hub_join(keys.select("_id", "key", "n"), of_key, "key", "_id", how="left")
     alone = F.col("n") == 0
     return out.select(
-        F.col("_id").alias(id_col),
+        F.col("_id.id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(alone | F.col("_id").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone | F.col("_id.none"), F.col("_id.id")).otherwise(F.col("lead.id")).alias("component_id"),
         F.col("key").alias("set_key"),
+        F.col("_id.hash").alias("text_hash"),
+        (alone | (F.col("lead") == F.col("_id"))).alias("leads"),
     )

@@ -6,12 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,15 +21,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base, dtype=_U)
-            row[0] = 1
-            _POWERS[k] = np.multiply.accumulate(row)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word, the bytes from ``begin`` to ``end``.
+
+    A word is read in blocks of eight bytes.  Each block is mixed with its place and the mixed blocks are
+    added, so no structure of the word's letters survives into the sum; the length is mixed in at last.
+    """
+    length = end - begin
+    blocks = (length + 7) >> 3
+    word_of = np.repeat(np.arange(len(begin)), blocks)
+    first = np.cumsum(blocks) - blocks
+    nth = np.arange(len(word_of)) - first[word_of]
+    at = begin[word_of] + 8 * nth
+    padded = np.concatenate([_LOWER[data], np.zeros(8, dtype=np.uint8)])
+    value = np.zeros(len(at), dtype=_U)
+    for k in range(8):
+        value |= padded[at + k].astype(_U) << _U(8 * k)
+    kept = np.minimum(length[word_of] - 8 * nth, 8).astype(_U)
+    value &= ~_U(0) >> (_U(64) - (kept << _U(3)))
+    mixed = mix(mix(value ^ _U(0xD6E8FEB86659FD93)) + mix(nth.astype(_U) + _U(0xCA9B0C7EBA1DA115)))
+    return mix(np.add.reduceat(mixed, first) + length.astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -57,10 +66,7 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(begin):
         return [empty] * n
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * power[:-1], out=sums[1:])
-    word = mix((sums[end] - sums[begin]) * inverse[begin])
+    word = _word_hashes(data, begin, end)
     bounds = np.searchsorted(begin, offsets)
     joined = np.zeros(max(0, len(word) - words + 1), dtype=_U)
     for k in range(words):
@@ -80,7 +86,10 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(items: np.ndarray) -> int:
-    """A 64-bit digest of a set, as a signed integer."""
-    total = mix(items).sum(dtype=_U) if len(items) else _U(0)
-    return int(mix(np.array([total ^ _U(len(items) * 0x9E3779B97F4A7C15 % 2**64)], dtype=_U)).astype(np.int64)[0])
+def digest(items: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed integers: a sum over its mixed elements each."""
+    halves = []
+    for seed in (0, 0x8CB92BA72F3D8DD7):
+        total = mix(items + _U(seed)).sum(dtype=_U) if len(items) else _U(0)
+        halves.append(int(mix(np.array([total ^ _U((len(items) * 0x9E3779B97F4A7C15 + seed) % 2**64)], dtype=_U)).astype(np.int64)[0]))
+    return halves[0], halves[1]

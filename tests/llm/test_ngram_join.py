@@ -132,11 +132,52 @@ def test_components(tables):
 
 def test_sets_of_rows_that_share_an_id(tables):
     from stepwise.llm.ngram_join import _sets
-    from stepwise.llm.shingles import set_key
+    from stepwise.llm.shingles import digest
 
     texts = [" ".join(f"w{k}x{n}" for n in range(8)) for k in range(20)]
-    keys = [set_key(s) for s in shingle_sets(pa.array(texts), 4)]
+    keys = [digest(s)[0] for s in shingle_sets(pa.array(texts), 4)]
     docs, ids = tables([(1, t) for t in texts], "_id long, _text string"), tables([(1, k) for k in keys], "_id long, key long")
     got = {r.key: r["items"] for r in _sets(docs, ids, 4).collect()}
     assert set(got) == set(keys)
-    assert all(set_key(np.array(v, dtype=np.int64).view(np.uint64)) == k for k, v in got.items())
+    assert all(digest(np.array(v, dtype=np.int64).view(np.uint64))[0] == k for k, v in got.items())
+
+
+def test_long_words_are_told_apart(tables):
+    """Thue-Morse strings, on which every polynomial modulo a power of two fails."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = [a, b, a + "\0", a[:-1], a[8:16] + a[:8] + a[16:], "x" * 8, "x" * 16, "x" * 7]
+    one = shingle_sets(pa.array(words), 4)
+    assert len({int(s[0]) for s in one}) == len(words)
+    both = f"{a} u v w {b} u v w {a} u"
+    docs = tables([(1, f"{a} u v w"), (2, f"{b} u v w"), (3, both)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, 4, (85, 100)).collect()}
+    assert got == brute([(1, f"{a} u v w"), (2, f"{b} u v w"), (3, both)], 4, 85, 100) and got[3][0] == 7
+
+
+def test_sets_that_share_a_key(tables, monkeypatch):
+    """With three bits for a key nearly every set shares one."""
+    import stepwise.llm.ngram_join as module
+
+    whole = module.digest
+    monkeypatch.setattr(module, "digest", lambda items: (whole(items)[0] % 8, whole(items)[1]))
+    texts = corpus(8, families=4, size=5)
+    docs = tables(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, 4, (85, 100)).collect()}
+    assert got == brute(texts, 4, 85, 100)
+
+
+def test_hubs_are_split(tables, monkeypatch):
+    monkeypatch.setattr("stepwise.llm.common.HEAVY", 3)
+    texts = corpus(9, families=3, size=12) + [(1000 + k, "one text that very many documents have") for k in range(40)]
+    docs = tables(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, 4, (85, 100)).collect()}
+    assert got == brute(texts, 4, 85, 100)
+
+
+def test_one_row_leads_each_group(tables):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (None, "a b c d e f"), (None, "k l m n o"), (None, "k l m n o"), (7, "k l m n"), (8, None), (8, "")]
+    got = similar_groups(tables(rows, "doc_id long, text string"), 4, (85, 100)).collect()
+    assert sorted(((r.doc_id, r.n_shingles) for r in got if r.leads), key=str) == sorted([(5, 3), (5, 3), (5, 3), (None, 2), (None, 2), (7, 1), (8, 0), (8, 0)], key=str)
