@@ -1,9 +1,11 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR: tables (default /root/testdata/sf0.1); BENCH_CPUS: threads (default 8); BENCH_RUNS: timed
-runs of each query (default 3; with 10 runs the first, the fastest and the slowest are dropped).  ``value`` is the sum
-over the queries.  ``steps`` has the time to the first snapshot, the time to the last one and the plain query's
-time in the mode that reads one partition after the other.
+runs of each query (default 10, of which the first, the fastest and the slowest don't count; of fewer the slowest
+doesn't).  ``value`` is the sum over the queries.  ``steps`` has the time to the first snapshot, the time to the last
+one and the plain query's time in the mode that reads one written partition after the other.  ``sizes`` compares, for
+each of BENCH_SIZES (rows of a partition, separated by commas), the plain query with its partitions one by one, in
+milliseconds as the report has them.
 """
 
 from __future__ import annotations
@@ -43,11 +45,28 @@ def drain(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def by_partitions(spark: SparkSession, df: DataFrame, size: int, runs: int) -> tuple[int, int]:
+    """Sum and mean in milliseconds of the query's times over written partitions of ``size`` rows each."""
+    from stepwise.session import ProgressiveSession
+    from stepwise.streaming.state import discard, new_folder
+
+    s, path = ProgressiveSession(spark), new_folder(spark, "bench")
+    s.register("bench_li", df)
+    ready = s.prepare_table("bench_li", partition_size=size, path=path)
+    times = []
+    for k in range(ready.partitions):
+        ready.data.where(f"_partition = {k}").createOrReplaceTempView("bench_partition")
+        times.append(1000 * protocol(lambda: drain(spark.sql(PLAIN.replace("lineitem", "bench_partition"))), runs))
+    discard(spark, path)
+    return round(sum(times)), round(mean(times))
+
+
 def main() -> None:
     from stepwise import workloads
+    from stepwise.sources.files import report_lines
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "10"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", cpus)
@@ -66,12 +85,17 @@ def main() -> None:
         seconds[name] = round(protocol(lambda name=name: drain(queries[name](spark, sf_dir)), runs), 3)
         print(name, seconds[name], file=sys.stderr)
 
-    result = workloads.session(spark, sf_dir).sql(workloads.SPECS["prog_group_flag"][0])
+    result = workloads.session(spark, sf_dir, "stored").sql(workloads.SPECS["prog_group_flag"][0])
+    drain(next(result.snapshots()).df)
     began, marks = time.perf_counter(), []
     for shot in result.snapshots():
         drain(shot.df)
         marks.append(time.perf_counter() - began)
     plain = protocol(lambda: drain(spark.sql(PLAIN)), runs)
+    sizes = {}
+    for size in map(int, os.environ.get("BENCH_SIZES", "100000,300000").split(",")):
+        sizes[size] = by_partitions(spark, workloads.session(spark, sf_dir).tables["li"], size, min(runs, 3))
+        print(report_lines([("l_returnflag", round(plain * 1000), *sizes[size])]), file=sys.stderr)
     steps = {"first_snapshot": marks[0], "last_snapshot": marks[-1], "plain_query": plain, "prepare": prepare, "mean_step": marks[-1] / len(marks)}
     print(
         json.dumps(
@@ -82,6 +106,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "steps": {k: round(v, 3) for k, v in steps.items()},
+                "sizes": {k: dict(zip(("partitions_sum_ms", "partitions_avg_ms"), v, strict=True)) for k, v in sizes.items()},
             }
         )
     )
