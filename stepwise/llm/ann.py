@@ -1,12 +1,18 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
-The trees are grown on a bounded sample: a node splits its vectors at the median of their projections
-on the direction between two of them.  Every row is then sent to one leaf of each tree.  A query opens
-the leaves of all trees in one order, those that it misses by the smallest margins first, until the
-opened leaves promise enough candidates.  How many are enough is measured: some of the queries are
-answered by brute force over the whole table, and the budget is raised until they find their
-neighbours.  Queries meet the rows of their leaves, leaf by leaf and in blocks of bounded size, and the candidates are
-ranked by their exact inner products.
+A tree splits its vectors at the median of their projections on the direction between two of them, again
+and again, down to leaves of a few.  The top of the forest, one tree grown on a bounded sample, deals
+the table into cells; large cells are dealt into blocks by a hash.  The vectors of a block meet in one
+task, which grows the block's own trees on all of them.
+
+A query goes down with a shared priority queue: its own path costs nothing, a wrong turn costs the
+margin by which the query lies on the other side, and a leaf costs the widest margin on its way.  All
+leaves of all trees of all cells that cost at most ``reach`` are opened, and never less than the query's
+own leaf in each tree of its cell.  So a neighbour nearer than ``reach`` is always found.  The rows of
+the opened leaves are candidates, ranked by their exact inner products.
+
+How far to reach is measured: some of the queries are answered by brute force over the whole table, and
+``reach`` is the least at which they find enough of their neighbours.
 
 Trees that split by angle serve inner products once all vectors have one length, so vectors get one
 more component that brings them to the length of the longest.
@@ -14,7 +20,7 @@ more component that brings them to the length of the longest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_width
+from .common import shuffle_width
 
-#: Trees, sample vectors that they are grown on, and sample vectors that a leaf may hold.
-TREES, SAMPLE, LEAF = 16, 20_000, 100
-#: Where the table is larger, a leaf holds fewer sample vectors, so that it has about so many rows, but no fewer than ``LEAST``.
-LEAF_ROWS, LEAST = 400, 10
-#: Among n rows a query opens leaves that hold at least ``PROBE / sqrt(n)`` of the different rows for each tree, at most all.
-PROBE = 10.0
-#: The share of the rows is raised by ``RAISE`` until so many queries, answered by brute force, have the recall.
-RECALL, TRIALS, RAISE = 0.9, 256, 1.1
-#: Rows of a leaf, and queries, that meet in one unit of work.
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
+#: Trees of a block, and vectors that one of their leaves may hold.
+TREES, LEAF = 16, 64
+#: Vectors that the top is grown on, and the fewest of them in a cell.
+SAMPLE, CELL = 20_000, 16
+#: Rows of a block: the table's by the shuffle's width, within these bounds.
+LEAST_ROWS, MOST_ROWS = 4_096, 65_536
+#: Recall that the trial queries must reach, less two standard errors; how many queries are tried.
+RECALL, TRIALS = 0.9, 256
+#: Pairs of a query and a row that are looked at at a time.
+AT_ONCE = 1_000_000
 
 
 @dataclass
@@ -45,8 +51,8 @@ class Forest:
     left: np.ndarray
     right: np.ndarray
     leaf: np.ndarray  # -1 for inner nodes
-    share: np.ndarray  # part of the sample's different vectors in each leaf
     roots: list[int]
+    n_leaves: int
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector (rows) in each tree (columns)."""
@@ -65,50 +71,29 @@ class Forest:
                 stack.append((self.left[node], rows[~right]))
         return out
 
-    def order(self, queries: np.ndarray) -> np.ndarray:
-        """All leaves for each query (rows), the most promising first: those that it misses by the smallest margins."""
-        margins = queries @ self.normal.T - self.offset
-        missed = np.full(margins.shape, -np.inf)  # the widest margin by which the way to a node goes wrong
+    def costs(self, queries: np.ndarray) -> np.ndarray:
+        """What each leaf (rows) costs each query (columns); the own leaf of a tree costs less than nothing."""
+        margins = self.normal @ queries.T - self.offset[:, None]
+        cost = np.full(margins.shape, -np.inf)  # the widest margin of the wrong turns to a node
         level = np.array(self.roots)
         while len(level := level[self.leaf[level] < 0]):
-            m, sofar = margins[:, level], missed[:, level]
+            m, sofar = margins[level], cost[level]
             wrong = np.maximum(sofar, abs(m))
-            missed[:, self.right[level]] = np.where(m > 0, sofar, wrong)
-            missed[:, self.left[level]] = np.where(m > 0, wrong, sofar)
+            cost[self.right[level]] = np.where(m > 0, sofar, wrong)
+            cost[self.left[level]] = np.where(m > 0, wrong, sofar)
             level = np.concatenate([self.left[level], self.right[level]])
         ends = np.flatnonzero(self.leaf >= 0)
-        return np.argsort(missed[:, ends[np.argsort(self.leaf[ends])]], axis=1, kind="stable")
-
-    def held(self, order: np.ndarray) -> np.ndarray:
-        """What the leaves before each one of ``order`` hold, in parts of the sample; nothing before the own leaf of each tree."""
-        before = np.cumsum(self.share[order], axis=1) - self.share[order]
-        before[:, : len(self.roots)] = 0.0
-        return before
-
-    def search(self, query: np.ndarray, share: float) -> list[int]:
-        """Leaves to look into, the most promising first, that together hold ``share`` of the sample for each tree.
-
-        The query's own leaf of each tree is among them.
-        """
-        return self.search_all(query[None, :], share)[0].tolist()
-
-    def search_all(self, queries: np.ndarray, share: float) -> list[np.ndarray]:
-        """``search`` for each row of ``queries``."""
-        out, some = [], max(1, 4_000_000 // len(self.leaf))
-        for at in range(0, len(queries), some):
-            order = self.order(queries[at : at + some])
-            out += [o[:n] for o, n in zip(order, (self.held(order) < share * len(self.roots)).sum(axis=1), strict=True)]
-        return out
+        return cost[ends[np.argsort(self.leaf[ends])]]
 
 
-def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: int = 0) -> Forest:
-    """A forest on the different rows of ``sample``."""
-    sample = np.unique(sample, axis=0)
+def grow(vectors: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: int = 0) -> Forest:
+    """A forest on the different rows of ``vectors``."""
+    vectors = np.unique(vectors, axis=0)
     random = np.random.default_rng(seed)
-    normal, offset, left, right, leaf, share = [], [], [], [], [], []
+    normal, offset, left, right, leaf, leaves = [], [], [], [], [], 0
 
     def node() -> int:
-        normal.append(np.zeros(sample.shape[1]))
+        normal.append(None)
         for column, empty in ((offset, 0.0), (left, -1), (right, -1), (leaf, -1)):
             column.append(empty)
         return len(left) - 1
@@ -116,14 +101,15 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: in
     roots = []
     for _ in range(trees):
         roots.append(node())
-        stack = [(roots[-1], np.arange(len(sample)))]
+        stack = [(roots[-1], np.arange(len(vectors)))]
         while stack:
             at, rows = stack.pop()
             side = None
             if len(rows) > leaf_rows:
                 for _ in range(4):  # vectors that are equal but for rounding cannot be parted
-                    a, b = sample[random.choice(rows, 2, replace=False)]
-                    along = sample[rows] @ ((b - a) / (np.linalg.norm(b - a) or 1.0))
+                    a, b = vectors[random.choice(rows, 2, replace=False)]
+                    direction = (b - a) / (np.linalg.norm(b - a) or 1.0)
+                    along = vectors[rows] @ direction
                     above = along[along > np.median(along) + 1e-9]
                     if len(above):
                         # between two values, so that rounding moves no vector across
@@ -131,13 +117,14 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF, seed: in
                         side = along > cut
                         break
             if side is None:
-                leaf[at] = len(share)
-                share.append(len(rows) / max(1, len(sample)))
+                leaf[at], leaves = leaves, leaves + 1
                 continue
-            normal[at], offset[at] = (b - a) / np.linalg.norm(b - a), cut
+            normal[at], offset[at] = direction, cut
             left[at], right[at] = node(), node()
             stack += [(left[at], rows[~side]), (right[at], rows[side])]
-    return Forest(np.array(normal), np.array(offset), np.array(left), np.array(right), np.array(leaf), np.array(share), roots)
+    none = np.zeros(vectors.shape[1])
+    normals = np.array([none if n is None else n for n in normal])
+    return Forest(normals, np.array(offset), np.array(left), np.array(right), np.array(leaf), roots, leaves)
 
 
 def _matrix(column: pa.ListArray, dimension: int) -> np.ndarray:
@@ -155,6 +142,71 @@ def _asking(vectors: np.ndarray) -> np.ndarray:
     return np.column_stack([vectors / np.linalg.norm(vectors, axis=1, keepdims=True), np.zeros(len(vectors))])
 
 
+@dataclass
+class Block:
+    """Rows that are searched together: different (id, vector) pairs and the trees grown on them."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    forest: Forest
+    leaves: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray, longest: float, trees: int, seed: int) -> Block:
+        order = np.lexsort((*vectors.T, ids))
+        ids, vectors = ids[order], vectors[order]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+        ids, vectors = ids[new], vectors[new]
+        longer = _longer(vectors, longest)
+        forest = grow(longer, trees, LEAF, seed)
+        return cls(ids, vectors, forest, forest.leaves(longer))
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query's place, row's place, score) of the ``k`` best candidates of each query, and how many candidates there were."""
+        costs = self.forest.costs(_asking(queries))
+        first = np.unique(self.leaves[:, 0], return_counts=True)
+        least = _reach_for(costs[first[0]], first[1], k + 1)
+        opened = costs <= np.maximum(reach, least)
+        candidate = np.zeros((len(self.ids), len(ids)), dtype=bool)
+        for t in range(self.leaves.shape[1]):
+            candidate |= opened[self.leaves[:, t]]
+        candidate &= self.ids[:, None] != ids[None, :]
+        met = int(candidate.sum())
+        if met * 8 > candidate.size:
+            q, r = _best(np.where(candidate.T, queries @ self.vectors.T, -np.inf), queries, self.vectors, k)
+        else:  # few candidates: only these are scored
+            r, q = np.nonzero(candidate)
+            order = np.argsort(q, kind="stable")
+            q, r = q[order], r[order]
+        score = np.empty(len(q))
+        for at in range(0, len(q), 100_000):  # exactly the inner product of the two vectors, whatever was estimated above
+            part = slice(at, at + 100_000)
+            score[part] = (queries[q[part]] * self.vectors[r[part]]).sum(axis=1)
+        order = np.lexsort((self.ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q] < k
+        return q[best], r[best], score[best], met
+
+
+def _reach_for(costs: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
+    """How far each query (column) must reach to open leaves or cells (rows) of at least ``wanted`` rows, or all."""
+    order = np.argsort(costs, axis=0, kind="stable")
+    enough = np.cumsum(sizes[order], axis=0) >= min(wanted, sizes.sum())
+    at = enough.argmax(axis=0)
+    return np.take_along_axis(costs, np.take_along_axis(order, at[None, :], axis=0), axis=0)[0]
+
+
+def _best(close: np.ndarray, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of at least the ``k`` largest products of each query, all that come near the last one included."""
+    if close.shape[1] <= k:
+        return np.nonzero(np.isfinite(close))
+    # the products of a matrix may differ in the last places from those of rows alone
+    edge = np.partition(close, -k, axis=1)[:, -k][:, None]
+    slack = 1e-9 * np.linalg.norm(queries, axis=1, keepdims=True) * np.linalg.norm(rows, axis=1).max(initial=0.0)
+    return np.nonzero((close >= edge - slack) & np.isfinite(close))
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -162,18 +214,19 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = TREES,
-    probe: float = PROBE,
-    sample_rows: int = SAMPLE,
+    recall: float = RECALL,
     seed: int = 0,
+    counted: bool = False,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner products with each row of ``queries``.
 
     Both tables have an integer id and an array of numbers.  A query doesn't find the row of its own
     id.  Returns query_id, rank (from 1), vec_id and score (in doubles), ties to the smaller id.  The
-    index is fitted to the ``sample_rows`` rows with the smallest id hashes and holds every row; the
-    result is approximate in that neighbours outside the opened leaves are missed.  Leaves are opened
-    until they hold ``probe / sqrt(n)`` of the rows for each tree, or more where the recall measured on
-    ``TRIALS`` queries is less than ``RECALL`` by two standard errors.
+    result is approximate in that neighbours outside the opened leaves are missed; how far the search
+    reaches is set so that ``TRIALS`` queries, answered by brute force, find ``recall`` of their
+    neighbours less two standard errors.  The cells are fitted to the ``SAMPLE`` rows with the smallest
+    id hashes; every row is in the index.  With ``counted`` there is a row for each query and block
+    instead: query_id, ``met`` (candidates) and ``held`` (rows of the block).
 
     Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
     those of another dimension than most have; null ids take no part; rows that repeat an id and
@@ -182,178 +235,172 @@ def nearest(
     """
     spark = vectors.sparkSession
     fine = "size({v}) > 0 AND forall({v}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < {inf}) AND exists({v}, x -> x != 0)"
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
 
     def clean(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
         return rows.where("id IS NOT NULL AND v IS NOT NULL").where(fine.format(v="v", inf="double('Infinity')"))
 
-    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = checkpoint(clean(vectors).dropDuplicates(["id", "v"]))
+    rows, asked = clean(vectors), clean(queries)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")
     )
     most = sizes.orderBy(F.desc("n"), "d").first()
-    result = "query_id long, rank int, vec_id long, score double"
     if most is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, met long, held long" if counted else "query_id long, rank int, vec_id long, score double")
     dimension, total, longest = most.d, most.n, float(np.sqrt(most.square))
-    rows, asked = rows.where(F.size("v") == dimension), clean(queries).where(F.size("v") == dimension)
+    rows, asked = rows.where(F.size("v") == dimension), asked.where(F.size("v") == dimension)
+    width = shuffle_width(spark)
+    block_rows = max(LEAST_ROWS, min(MOST_ROWS, -(-total // width)))
+    top, cells = _top(rows, total, block_rows, dimension, longest, seed)
+    blocks = np.maximum(1, -(-cells // block_rows)).astype(np.int32)
+    shared = spark.sparkContext.broadcast(top)  # bounded by the sample
+
+    def place(sent: DataFrame, route: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], side: int) -> DataFrame:
+        """(cell, x, side, id, v): ``route`` has the rows' places and the cells that they are sent to."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at, cell = route(_matrix(batch.column(1), dimension))
+                    sent = pa.array(at)
+                    columns = [pa.array(cell.astype(np.int32)), pa.array(blocks[cell]), batch.column(0).take(sent), batch.column(1).take(sent)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "p", "id", "v"])
+
+        found = sent.mapInArrow(run, f"cell int, p int, id long, v {kind}")
+        own = F.pmod(F.xxhash64("id"), F.col("p")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("p") - 1))
+        return found.select("cell", (every if side else own).alias("x"), F.lit(side).alias("side"), "id", "v")
+
+    def home(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(vectors)), shared.value.leaves(_longer(vectors, longest))[:, 0]
+
+    unit = ["cell", "x"]
+    placed = place(rows, home, 0)
+    reach = _reach(shared, blocks, placed, asked, k, dimension, longest, trees, recall, seed)
+
+    def visited(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        costs = shared.value.costs(_asking(vectors))
+        cell, at = np.nonzero(costs <= np.maximum(reach, _reach_for(costs, cells, k + 1)))
+        return at, cell
+
+    met = placed.unionByName(place(asked, visited, 1)).repartition(width, *unit).sortWithinPartitions(*unit, "side")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches, dimension, longest, trees, seed):
+            for at, n_at_once in _steps(part.num_rows, len(block.ids)):
+                some = part.slice(at, n_at_once)
+                ids = some.column(3).to_numpy()
+                q, r, score, n = block.search(ids, _matrix(some.column(4), dimension), k, reach)
+                if counted:
+                    each = [pa.array(c) for c in (ids, np.full(len(ids), n / len(ids)).round().astype(np.int64), np.full(len(ids), len(block.ids)))]
+                    yield pa.RecordBatch.from_arrays(each, names=["query_id", "met", "held"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(block.ids[r]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    if counted:
+        return met.mapInArrow(search, "query_id long, met long, held long")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top(rows: DataFrame, total: int, block_rows: int, dimension: int, longest: float, seed: int) -> tuple[Forest, np.ndarray]:
+    """The tree whose leaves are the cells, and the rows of each cell."""
+    if total <= block_rows:
+        return grow(np.zeros((1, dimension + 1)), 1), np.array([total])
     mark = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**32))
-    bound = int(2**32 * min(1.0, sample_rows / total))
-    sample = np.array([r.v for r in rows.where(mark < bound).select("v").orderBy(mark).limit(sample_rows).collect()])
-    sample = sample if len(sample) else np.array([rows.select("v").first().v])
-    leaf_rows = max(LEAST, min(LEAF, LEAF_ROWS * len(sample) // total))
-    forest = grow(_longer(sample, longest), trees, leaf_rows, seed)
-    share = min(1.0, probe / total**0.5)
-    shared = spark.sparkContext.broadcast(forest)  # its size is bounded by the sample
-    if share < 1.0:
-        share = _enough(shared, rows, asked, share, k, dimension, longest, seed)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                leaves = shared.value.leaves(_longer(_matrix(batch.column(1), dimension), longest))
-                take = pa.array(np.repeat(np.arange(batch.num_rows), leaves.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves.ravel()), batch.column(0).take(take), batch.column(1).take(take)], names=["leaf", "id", "v"]
-                )
+    bound = int(2**32 * min(1.0, SAMPLE / total))
+    drawn = rows.where(mark < bound).orderBy(mark).limit(SAMPLE).select("v").toArrow()
+    sample = _matrix(drawn.column("v").combine_chunks(), dimension) if drawn.num_rows else np.ones((1, dimension))
+    top = grow(_longer(sample, longest), 1, max(CELL, len(sample) * block_rows // total), seed)
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(top.n_leaves, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                opened = shared.value.search_all(_asking(_matrix(batch.column(1), dimension)), share)
-                take = pa.array(np.repeat(np.arange(batch.num_rows), [len(o) for o in opened]))
-                leaves = pa.array(np.concatenate(opened).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([leaves, batch.column(0).take(take), batch.column(1).take(take)], names=["leaf", "id", "v"])
-
-    indexed = rows.mapInArrow(index, f"leaf int, id long, v {kind}")
-    probing = asked.mapInArrow(probes, f"leaf int, id long, v {kind}")
-    # Leaves of many rows are cut into blocks, and so are the queries that look into them.  The table
-    # of counts has a row for each leaf of the forest, so its size is bounded.
-    counts = checkpoint(
-        rows.mapInArrow(_only_leaves(shared, dimension, longest), "leaf int").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    )
-    asked_of = probing.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
-    plan = checkpoint(
-        counts.join(asked_of, "leaf").select(
-            "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("p"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("q")
-        )
-    )
-    few = F.broadcast(plan)
-    dealt_rows = indexed.join(few, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("y"), F.lit(0).alias("side"), "id", "v"
-    )
-    dealt_queries = probing.join(few, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("x"), F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("y"), F.lit(1).alias("side"), "id", "v"
-    )
-    unit = ["leaf", "x", "y"]
-    met = dealt_rows.unionByName(dealt_queries).repartition(shuffle_width(spark), *unit).sortWithinPartitions(*unit, "side", "id")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
+                sums += np.bincount(top.leaves(_longer(_matrix(batch.column(1), dimension), longest))[:, 0], minlength=len(sums))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["cell", "n"])
+
+    counted = rows.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = {r.cell: r.n for r in counted.collect()}  # a row for each cell
+    return top, np.array([sums.get(c, 0) for c in range(top.n_leaves)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dimension: int, longest: float, trees: int, seed: int) -> Iterator[tuple[Block, pa.RecordBatch]]:
+    """(block, queries), batch by batch, from rows sorted by (cell, x, side); a block's rows come before its queries."""
+    now, held, block = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1).tolist(), len(code)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if tuple(code[a, :2]) != now:
+                now, held, block = tuple(code[a, :2]), [], None
+            part = batch.slice(a, b - a)
+            if not code[a, 2]:
+                held.append((part.column(3).to_numpy(), _matrix(part.column(4), dimension)))
                 continue
-            code = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            edges = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1).tolist(), len(code)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if tuple(code[a]) != now and held:
-                    yield from _best_of(held, dimension, k)
-                    held = []
-                now = tuple(code[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from _best_of(held, dimension, k)
-
-    found = met.mapInArrow(meet, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    )
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if block is None and held:
+                block = Block.of(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), longest, trees, seed)
+                held = []
+            if block is not None:
+                yield block, part
 
 
-def _enough(shared, rows: DataFrame, asked: DataFrame, share: float, k: int, dimension: int, longest: float, seed: int) -> float:  # noqa: ANN001
-    """The smallest share, raised from ``share``, at which queries find ``RECALL`` of their neighbours.
+def _steps(queries: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(begin, length) of the queries that meet so many rows at a time."""
+    some = max(1, AT_ONCE // max(1, rows))
+    for at in range(0, queries, some):
+        yield at, min(some, queries - at)
 
-    The trial queries, of different vectors, meet every row; the budget that a neighbour takes is that
-    of the first leaf which has it, in the order in which the query opens leaves.
+
+def _reach(shared, blocks: np.ndarray, placed: DataFrame, asked: DataFrame, k: int, dimension: int, longest: float, trees: int, wanted: float, seed: int) -> float:  # noqa: ANN001
+    """The least reach at which queries find ``wanted`` of their neighbours.
+
+    The trial queries, of different vectors, meet every row; a neighbour is found from the reach on that
+    opens its cell and the cheapest of its leaves.
     """
     trials = max(16, min(TRIALS, 20_000 // k))
     chosen = asked.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trials).collect()
     if not chosen:
-        return share
+        return 0.0
     queries, ids = np.array([r.v for r in chosen], dtype=np.float64), np.array([r.id for r in chosen])
+    to_cell = shared.value.costs(_asking(queries))
+    # the same queries, at the end of each block
+    few = placed.sparkSession.createDataFrame([(c, x) for c, n in enumerate(blocks.tolist()) for x in range(n)], "cell int, x int")
+    marks = few.select("cell", "x", F.lit(1).alias("side"), F.lit(0).cast("long").alias("id"), F.array().cast(placed.schema["v"].dataType).alias("v"))
+    met = placed.unionByName(marks).repartition(shuffle_width(placed.sparkSession), "cell", "x").sortWithinPartitions("cell", "x", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vectors, row_ids = _matrix(batch.column(1), dimension), batch.column(0).to_numpy()
-                close = queries @ vectors.T
-                close[ids[:, None] == row_ids[None, :]] = -np.inf
-                # the best k of a batch, ties to the smaller id
-                by_id = np.argsort(row_ids, kind="stable")
-                best = by_id[np.argsort(-close[:, by_id], axis=1, kind="stable")[:, :k]]
-                q, r = np.repeat(np.arange(len(queries)), best.shape[1]), best.ravel()
-                score = close[q, r]
-                q, r, score = q[np.isfinite(score)], r[np.isfinite(score)], score[np.isfinite(score)]
-                used, at = np.unique(r, return_inverse=True)
-                leaves = shared.value.leaves(_longer(vectors[used], longest))[at]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * leaves.shape[1]), pa.array(leaves.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(row_ids[r]), pa.array(score), lists], names=["q", "id", "score", "leaves"])
-
-    met = rows.mapInArrow(meet, "q int, id long, score double, leaves array<int>")
-    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    best = met.withColumn("rank", first).where(F.col("rank") <= k).select("q", "leaves").collect()
-    if not best:
-        return share
-    q, leaves = np.array([r.q for r in best]), np.array([r.leaves for r in best])
-    takes = np.empty(len(q))
-    for n in np.unique(q):
-        order = shared.value.order(_asking(queries[n : n + 1]))
-        takes[q == n] = shared.value.held(order)[0][np.argsort(order[0])[leaves[q == n]].min(axis=1)]
-    counts = np.bincount(q)
-    while share < 1.0:
-        recall = (np.bincount(q, takes < share * leaves.shape[1]) / np.maximum(counts, 1))[counts > 0]
-        if recall.mean() - 2 * recall.std() / len(recall) ** 0.5 >= RECALL:
-            break
-        share *= RAISE
-    return min(1.0, share)
-
-
-def _only_leaves(shared, dimension: int, longest: float):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                leaves = shared.value.leaves(_longer(_matrix(batch.column(1), dimension), longest))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel())], names=["leaf"])
-
-    return run
-
-
-def _best_of(parts: list[pa.RecordBatch], dimension: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best rows of a unit for each of its queries, scored exactly."""
-    table = pa.Table.from_batches(parts).combine_chunks()
-    side = table.column("side").to_numpy()
-    ids, vectors = table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks(), dimension)
-    first = int(np.searchsorted(side, 1))
-    rows, row_ids, asked, asked_ids = vectors[:first], ids[:first], vectors[first:], ids[first:]
-    if not len(rows) or not len(asked):
-        return
-    close = asked @ rows.T
-    close[asked_ids[:, None] == row_ids[None, :]] = -np.inf
-    if close.shape[1] > k:
-        # the products of a matrix may differ in the last places from those of rows alone
-        edge = -np.partition(-close, k - 1, axis=1)[:, k - 1 : k]
-        slack = 1e-9 * np.linalg.norm(asked, axis=1, keepdims=True) * np.linalg.norm(rows, axis=1).max()
-        keep = (close >= edge - slack) & np.isfinite(close)
-    else:
-        keep = np.isfinite(close)
-    q, r = np.nonzero(keep)
-    score = (asked[q] * rows[r]).sum(axis=1)
-    order = np.lexsort((row_ids[r], -score, q))
-    q, r, score = q[order], r[order], score[order]
-    starts = np.searchsorted(q, np.arange(len(asked)))
-    best = np.arange(len(q)) - starts[q] < k
-    q, r, score = q[best], r[best], score[best]
-    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(row_ids[r]), pa.array(score)], names=["query_id", "vec_id", "score"])
+        for block, part in _blocks(batches, dimension, longest, trees, seed):
+            for at, some in _steps(len(queries), len(block.ids)):
+                asking = queries[at : at + some]
+                close = asking @ block.vectors.T
+                close[ids[at : at + some, None] == block.ids[None, :]] = -np.inf
+                q, r = _best(close, asking, block.vectors, k)
+                score = (asking[q] * block.vectors[r]).sum(axis=1)
+                cost = block.forest.costs(_asking(asking))[block.leaves[r], q[:, None]].min(axis=1)
+                cost = np.maximum(cost, to_cell[part.column(0)[0].as_py()][at + q])
+                columns = [(at + q).astype(np.int32), block.ids[r], score, cost]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "id", "score", "cost"])
+
+    best = met.mapInArrow(meet, "q int, id long, score double, cost double").groupBy("q", "id").agg(F.max_by("cost", "score").alias("cost"), F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "cost").toPandas()
+    if not len(best):
+        return 0.0
+    q, cost = best["q"].to_numpy(), np.maximum(best["cost"].to_numpy(), 0.0)
+    counts = np.bincount(q, minlength=len(queries))
+    # the recall grows with the reach: the least one that suffices is among the costs
+    ladder, low, high = np.unique(cost), 0, len(np.unique(cost)) - 1
+    while low < high:
+        at = (low + high) // 2
+        recall = (np.bincount(q, cost <= ladder[at], minlength=len(queries)) / np.maximum(counts, 1))[counts > 0]
+        if recall.mean() - 2 * recall.std() / len(recall) ** 0.5 >= wanted:
+            high = at
+        else:
+            low = at + 1
+    return float(ladder[low]) * (1 + 1e-9) + 1e-12  # a margin may differ in its last places from block to block
+
