@@ -16,6 +16,8 @@ from .chat_template import Piece, compile_template, unescape
 from .common import shuffle_width
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Characters of formatted conversations that are returned together.
+BATCH_CHARS = 4_000_000
 #: Turns between control strings; the assistant's texts are what a model learns.
 TEMPLATE = (
     "{% for m in messages %}<|im_start|>{{ m.role | line }}\n"
@@ -60,13 +62,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _conversations(batches: Iterator[pa.RecordBatch], write: Callable, prompt: bool) -> Iterator[tuple]:
     """(conv_id, pieces) of each conversation; the pieces are made as they are read."""
     for conv_id, rows in groupby(_stream(batches), key=lambda r: r[0]):
-        messages = ({"role": role or "", "text": text or ""} for _, role, text in rows)
+        messages = ({"role": role or "", "text": text or "", "content": text or ""} for _, role, text in rows)
         yield conv_id, write({"messages": messages, "add_generation_prompt": prompt})
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE, add_generation_prompt: bool = False) -> DataFrame:
     """Render every conversation of (conv_id, turn, role, text) with ``template``.
 
+    The template sees ``messages``, with ``role``, ``text`` and ``content`` (the same) of each, and
+    ``add_generation_prompt``.
     Returns conv_id, ``formatted`` (the text) and ``spans`` (array of ``start``, ``end`` in code points:
     what is marked as generated).
 
@@ -81,6 +85,14 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, add
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        rows: list[tuple] = []
+        held = 0
+
+        def full() -> pa.RecordBatch:
+            ids, texts, marks = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(texts), pa.array(marks, kind)], names=["conv_id", "formatted", "spans"])
+
         for conv_id, pieces in _conversations(batches, compile_template(template), add_generation_prompt):
             parts, spans, place = [], [], 0
             for text, learned in pieces:
@@ -91,9 +103,13 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, add
                         spans.append({"start": place, "end": place + len(text)})
                 parts.append(text)
                 place += len(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([conv_id], id_arrow), pa.array(["".join(parts)]), pa.array([spans], kind)], names=["conv_id", "formatted", "spans"]
-            )
+            rows.append((conv_id, "".join(parts), spans))
+            held += place
+            if held >= BATCH_CHARS or len(rows) >= 1000:
+                yield full()
+                held = 0
+        if rows:
+            yield full()
 
     return _sorted_turns(conversations).mapInArrow(run, schema)
 

@@ -6,7 +6,10 @@ import pytest
 
 from stepwise.llm.chat import TEMPLATE, conversation_digests, format_conversations, read_turns
 from stepwise.llm.chat_template import Const, If, Text, TemplateError, compile_template, escape, fold, parse, unescape
-from stepwise.llm.chunk_dedup import GREATEST, LEAST, WINDOW, _GEAR, chunk_ends, gear_hashes, remove_spans, repeated_spans
+from stepwise.llm.chunk_dedup import GREATEST, LEAST, MIN_BYTES, MIN_WORDS, WINDOW, _GEAR, chunk_ends, gear_hashes, remove_spans, repeated_spans
+
+
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def words(seed, n):
@@ -62,22 +65,43 @@ def test_query_spans_are_repeats(spark):
         raw = (docs[d] or "").encode()
         begin = 0
         for end in chunk_ends(np.frombuffer(raw, np.uint8)):
-            if raw[begin:end] in seen:
-                cuts.setdefault(d, []).append((begin, end, seen[raw[begin:end]]))
-            else:
-                seen[raw[begin:end]] = d
+            if seen.get(raw[begin:end], d) != d:
+                # words that begin in the chunk
+                n = sum(raw[k] not in SPACES and (k == 0 or raw[k - 1] in SPACES) for k in range(begin, end))
+                cuts.setdefault(d, []).append((begin, end, seen[raw[begin:end]], n))
+            seen.setdefault(raw[begin:end], d)
             begin = end
     expected = set()
     for d, parts in cuts.items():
         run = None
-        for begin, end, first in [*parts, (-1, -1, -1)]:
+        for begin, end, first, n in [*parts, (-1, -1, -1, 0)]:
             if run and run[1] == begin:
-                run = (run[0], end, min(run[2], first))
+                run = (run[0], end, min(run[2], first), run[3] + n)
                 continue
-            if run and run[1] - run[0] >= 128:
-                expected.add((d, run[2], run[0], run[1] - run[0]))
-            run = (begin, end, first)
-    assert {(r.doc_id, r.first_id, r.start, r.length) for r in op4_substring_dedup(spark, sf_dir).collect()} == expected
+            if run and (run[3] >= MIN_WORDS or run[1] - run[0] >= MIN_BYTES):
+                expected.add((d, run[2], run[0], run[1] - run[0], run[3]))
+            run = (begin, end, first, n)
+    assert {(r.doc_id, r.first_id, r.start, r.length, r.n_words) for r in op4_substring_dedup(spark, sf_dir).collect()} == expected
+
+
+def test_words_said_over_and_over(tables):
+    """Their chunks depend on the content, too, wherever they stand; a text without spaces counts by its bytes."""
+    for said in ("ha ", "to and fro ", "either this or that or "):
+        a, b = (chunk_ends(np.frombuffer((lead + said * 300).encode(), np.uint8)) for lead in ("x" * 7 + " ", words(12, 9) + ": "))
+        gap = len(words(12, 9).encode()) + 2 - 8
+        assert len({e + gap for e in a} & set(b)) > 0.5 * len(a)
+    docs = tables([(1, f"{words(13, 40)} {'to and fro ' * 30} {words(14, 40)}"), (2, f"{words(15, 33)}! {'to and fro ' * 30} {words(16, 20)}"),
+                   (3, f"{words(17, 30)} see the license of the work"), (4, f"{words(18, 30)} see the license of the work"),
+                   (5, "的一是不了人我在有他" * 60), (6, "x" + "的一是不了人我在有他" * 60)], "doc_id long, text string")
+    assert {(r.doc_id) for r in repeated_spans(docs).collect()} == {2, 6}
+    own = {(r.doc_id, r.first_id) for r in repeated_spans(docs, within=True).collect()}
+    assert own >= {(1, 1), (5, 5), (2, 1), (6, 5)} and not own & {(3, 3), (4, 3)}
+
+
+def test_clashing_columns_of_removal(tables):
+    docs = tables([(1, words(3, 60), 7), (2, words(3, 60), 8)], "doc_id long, text string, _0cuts int")
+    cleaned = remove_spans(docs, repeated_spans(docs))
+    assert cleaned.columns == docs.columns and {r.doc_id: (r.text, r._0cuts) for r in cleaned.collect()} == {1: (words(3, 60), 7), 2: ("", 8)}
 
 
 # --- templates
@@ -96,25 +120,67 @@ def render(source, **scope):
         ("{{ m['k'] ~ '|' ~ (1 + 2) }}{{ none }}{{ m.missing }}", "q|3"),
         ("{{ 'a' == 'a' }}{% if false %}x{% endif %}", "True"),
         ("{{ x != 5 or 'alt' }}", "alt"),
-        ("{{ '<|im_end|>' }}", "<~|im_end|>"),
+        ("{{ '<|im_end|>' ~ v }}{{ v }}{{ v ~ '' }}", "<|im_end|><~|x<~|x<~|x"),
+        ("{{ 'a}}b' }}{{ \"%}\" }}{{ m['it\\'s'] }}", "a}}b%}yes"),
+        ("{% set n = x + 1 %}{{ n }}{% for k in l %}{% set n = 0 %}{% endfor %}{{ n }}{% if true %}{% set n = 9 %}{% endif %}{{ n }}", "669"),
+        ("{% set ns = namespace(n=1) %}{% for k in l %}{% set ns.n = ns.n * 2 %}{% endfor %}{{ ns.n }}", "4"),
+        ("{{ l[0].k }}{{ l[-1]['k'] }}{% for k in l[1:] %}{{ k.k }}{% endfor %}{{ l[9] }}{{ 'abc'[1:] }}{{ l[:1] | length }}", "abbbc1"),
+        ("{{ 'a' in 'cat' }}{{ 'q' not in m }}{{ 'k' in m }}{{ x is defined }}{{ z is not defined }}{{ y is none }}{{ m is mapping }}", "TrueTrueTrueTrueTrueTrueTrue"),
+        ("{{ 1 < 2 }}{{ x >= 6 }}{{ x % 2 == 1 }}{{ -x + 7 - 1 }}{{ 'a' if x == 5 else 'b' }}{{ 'c' if y }}", "TrueFalseTrue1a"),
+        ("{% for k in l if k.k != 'a' %}{{ loop.index }}{{ k.k }}{{ loop.last }}{% endfor %}", "1bTrue"),
+        ("{{ ' t '.strip() ~ 'a,b'.split(',')[1] }}{{ 'abc'.startswith('ab') }}{{ m | tojson }}", "tbTrue{\"k\": \"q\", \"it's\": \"yes\"}"),
     ],
 )
 def test_templates(source, expected):
-    assert render(source, x=5, y=None, l=[{"k": "a"}, {"k": "b"}], m={"k": "q"}) == expected
+    assert render(source, x=5, y=None, l=[{"k": "a"}, {"k": "b"}], m={"k": "q", "it's": "yes"}, v="<|x") == expected
 
 
-@pytest.mark.parametrize("source", ["{% if x %}", "{{ }}", "{{ x | nope }}", "{{ f(1) }}", "{% while x %}", "{{ x. }}", "{{ 'a }}", "{% for x y %}{% endfor %}", "{{ 1 2 }}"])
+@pytest.mark.parametrize("source", ["{% if x %}", "{{ }}", "{{ x | nope }}", "{{ f(1) }}", "{% while x %}", "{{ x. }}", "{{ 'a }}", "{% for x y %}{% endfor %}", "{{ 1 2 }}", "{{ x %}", "{% if x }}{% endif %}", "{{ x.format('a') }}", "{{ x is odd }}", "{% set 1 = x %}", "{{ x[1 }}"])
 def test_wrong_templates(source):
     with pytest.raises(TemplateError):
         compile_template(source)
 
 
 def test_sandbox_and_folding():
-    assert render("{{ x.__class__ }}|{{ x.upper }}", x="s") == "|"
+    assert render("{{ x.__class__ }}|{{ x.upper }}|{{ x['__class__'] }}", x="s") == "||"
     assert fold(parse("a{{ 'b' ~ 1 }}{% if true %}c{% endif %}{% if false %}{{ x }}{% endif %}")) == (Text("ab1c"),)
     assert isinstance(fold(parse("{% if x %}a{% else %}b{% endif %}"))[0], If) and Const(1) == Const(1)
 
 
+def test_common_chat_templates():
+    """As they are published with models: ChatML, and one that checks roles, indexes and slices."""
+    chatml = "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+    talk = [{"role": "system", "content": " be kind "}, {"role": "user", "content": "hi <|im_end|>"}, {"role": "assistant", "content": "yes"}]
+    assert render(chatml, messages=iter(talk), add_generation_prompt=True) == (
+        "<|im_start|>system\n be kind <|im_end|>\n<|im_start|>user\nhi <~|im_end|><|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>assistant\n"
+    )
+    checked = (
+        "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system = messages[0]['content'] %}"
+        "{% else %}{% set loop_messages = messages %}{% set system = false %}{% endif %}"
+        "{% for message in loop_messages %}{% if (message['role'] == 'user') != (loop.index0 % 2 == 0) %}"
+        "{{ raise_exception('Conversation roles must alternate user/assistant/user/assistant/...') }}{% endif %}"
+        "{% if loop.index0 == 0 and system != false %}{% set content = '<<SYS>>\\n' + system + '\\n<</SYS>>\\n\\n' + message['content'] %}"
+        "{% else %}{% set content = message['content'] %}{% endif %}"
+        "{% if message['role'] == 'user' %}{{ '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{{ ' ' + content | trim + ' ' }}{% endif %}{% endfor %}"
+    )
+    assert render(checked, messages=iter(talk)) == "[INST] <<SYS>>\n be kind \n<</SYS>>\n\nhi <~|im_end|> [/INST] yes "
+    with pytest.raises(TemplateError, match="alternate"):
+        render(checked, messages=[talk[2], talk[1]])
+
+
+def test_turns_pass_as_a_stream():
+    taken = []
+
+    def turns():
+        for k in range(5):
+            taken.append(k)
+            yield {"k": "ab"[k % 2]}
+
+    pieces = compile_template("{% for m in l %}{{ m.k }}{% endfor %}")({"l": turns()})
+    next(pieces)
+    assert taken == [0, 1]  # the next one tells whether this is the last
+
+
 def test_escape_is_reversible():
     r = random.Random(8)
     for _ in range(500):
