@@ -9,7 +9,10 @@ text.  The method loses no match within the budget.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 #: Edits allowed for each hundred characters of a normalised item.
 ERRORS_PERCENT = 6
-#: Items are searched in blocks of at most so many characters; a block is what a task holds.
-BLOCK_CHARS = 4_000_000
+#: Items are dealt into blocks of about so many characters; a process keeps the automata of so many, a few dozen bytes for
+#: each.  Where there are more items, texts of so many bytes at a time meet one block after the other.
+BLOCK_CHARS, KEPT_CHARS, CHUNK_BYTES = 1_000_000, 4_000_000, 32_000_000
 
 _GAPS = re.compile(r"[\W_]+")
 
@@ -79,16 +83,10 @@ def character_masks(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Finds a block of items in texts.  Built from the items where it is used, once in a process."""
+    """Finds a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = ERRORS_PERCENT) -> None:
         self.items, self.percent = items, percent
-        self.parts: ahocorasick.Automaton | None = None
-
-    def __getstate__(self) -> dict:
-        return {"items": self.items, "percent": self.percent, "parts": None}
-
-    def prepare(self) -> None:
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(self.items):
             for offset, piece in pieces(item, budget(item, self.percent)):
@@ -101,8 +99,6 @@ class Matcher:
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """Of each item (by its place) within its budget: the least distance and where it ends."""
-        if self.parts is None:
-            self.prepare()
         found: dict[int, tuple[int, int]] = {}
         looked: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.parts.iter(text):
@@ -127,7 +123,7 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of bounded size, read one after the other."""
     block: list[tuple[int, str]] = []
     chars = 0
@@ -137,13 +133,70 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int =
         if item:
             block.append((item_id, item))
             chars += len(item)
-        if chars >= block_chars:
+        if chars >= BLOCK_CHARS:
             yield block
             block, chars = [], 0
     if block:
         yield block
 
 
+#: Automata of this process, by block, the one used last at the end.
+_BUILT: dict[str, tuple[int, Matcher]] = {}
+
+
+class Benchmark:
+    """The items in blocks, which are broadcast compressed, and built into automata once in a process."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, percent: int) -> None:
+        context = items.sparkSession.sparkContext
+        self.percent, self.blocks = percent, []
+        for block in item_blocks(items, id_col, text_col):
+            sent = context.broadcast(zlib.compress(pickle.dumps(block)))
+            self.blocks.append((f"{uuid.uuid4().hex}", sum(len(item) for _, item in block), sent))
+
+    def matcher(self, number: int) -> Matcher:
+        key, chars, sent = self.blocks[number]
+        held = _BUILT.pop(key, None) or (chars, Matcher(pickle.loads(zlib.decompress(sent.value)), self.percent))
+        while _BUILT and chars + sum(n for n, _ in _BUILT.values()) > KEPT_CHARS:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[key] = held
+        return held[1]
+
+    def find(self, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        """Each batch with the (item id, distance, length, end) that the text of each row, column ``at``, holds.
+
+        The texts pass once.  If a process cannot keep all automata, texts are gathered before they meet
+        the blocks, so that an automaton is built for many.
+        """
+        together = CHUNK_BYTES if sum(n for _, n, _ in self.blocks) > KEPT_CHARS else 0
+        chunk, size = [], 0
+        for batch in batches:
+            for part in self._parts(batch, together):
+                chunk.append(part)
+                size += part.nbytes
+                if size >= together:
+                    yield from self._met(chunk, at)
+                    chunk, size = [], 0
+        if chunk:
+            yield from self._met(chunk, at)
+
+    @staticmethod
+    def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+        rows = batch.num_rows if not most else max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, max(1, rows)):
+            yield batch.slice(at, rows)
+
+    def _met(self, chunk: list[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        texts = [[normalise(text.as_py()) for text in part.column(at)] for part in chunk]
+        hits: list[list[list[tuple]]] = [[[] for _ in part] for part in texts]
+        for number in range(len(self.blocks)):
+            matcher = self.matcher(number)
+            for part, into in zip(texts, hits, strict=True):
+                for text, row in zip(part, into, strict=True):
+                    row += [(matcher.items[k][0], d, len(matcher.items[k][1]), end) for k, (d, end) in matcher.find(text).items()]
+        yield from zip(chunk, hits, strict=True)
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -166,34 +219,18 @@ def find_leaks(
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id_col].dataType.simpleString()}, distance int, item_chars int, match_end long"
     id_type = items.schema[item_id_col].dataType
     chosen = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("_text"))
-    out: DataFrame | None = None
-    for block in item_blocks(items, item_id_col, item_text_col):
-        matcher = Matcher(block, percent)
-
-        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            arrow_type = pa.string() if id_type.simpleString() == "string" else None
-            for batch in batches:
-                hits = [
-                    (row, matcher.items[k][0], distance, len(matcher.items[k][1]), end)
-                    for row, text in enumerate(batch.column(1))
-                    for k, (distance, end) in matcher.find(normalise(text.as_py())).items()
-                ]
-                if hits:
-                    rows, ids, distances, sizes, ends = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array(rows)),
-                            pa.array(ids, arrow_type),
-                            pa.array(distances, pa.int32()),
-                            pa.array(sizes, pa.int32()),
-                            pa.array(ends, pa.int64()),
-                        ],
-                        names=[id_col, "item_id", "distance", "item_chars", "match_end"],
-                    )
-
-        part = chosen.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    benchmark = Benchmark(items, item_id_col, item_text_col, percent)
+    item_type = pa.string() if id_type.simpleString() == "string" else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in benchmark.find(batches, 1):
+            hits = [(row, *hit) for row, of_row in enumerate(found) for hit in of_row]
+            if hits:
+                rows, ids, distances, sizes, ends = zip(*hits, strict=True)
+                columns = [pa.array(ids, item_type), pa.array(distances, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names=[id_col, "item_id", "distance", "item_chars", "match_end"])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def drop_leaks(
@@ -204,15 +241,12 @@ def drop_leaks(
     item_text_col: str = "text",
     percent: int = ERRORS_PERCENT,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns, in one pass for each block of items."""
+    """The rows of ``docs`` that hold no item, all columns, in one pass."""
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_id_col, item_text_col):
-        matcher = Matcher(block, percent)
+    benchmark = Benchmark(items, item_id_col, item_text_col, percent)
 
-        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not matcher.find(normalise(text.as_py())) for text in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in benchmark.find(batches, at):
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,6 @@
 import random
 
-from stepwise.llm.decontaminate import Matcher, best_match, budget, drop_leaks, find_leaks, normalise, pieces
+from stepwise.llm.decontaminate import Matcher, best_match, budget, character_masks, drop_leaks, find_leaks, normalise, pieces
 
 ITEM = "That which the river carried away in the spring came back to the village before the winter of the following year"
 
@@ -63,17 +63,38 @@ def test_tables(tables):
     assert find_leaks(docs.limit(0), items).collect() == [] and drop_leaks(docs.limit(0), items).collect() == []
 
 
+def test_many_blocks_pass_once(tables, monkeypatch):
+    """Items in more blocks than a process keeps, texts in many chunks: as with all items together."""
+    from stepwise.llm import decontaminate as module
+
+    r = random.Random(4)
+    texts = [(k, f"intro {k} {edited(ITEM, k % 9, k)} {'x y z ' * r.randrange(50)}") for k in range(40)]
+    items = [(k, f"{ITEM[k * 3:]} number {k}") for k in range(12)] + [(50, ITEM)]
+    docs, table = tables(texts, "doc_id long, text string"), tables(items, "item_id long, text string")
+    whole = sorted(map(tuple, find_leaks(docs, table).collect()))
+    left = sorted(x.doc_id for x in drop_leaks(docs, table).collect())
+    for name, value in (("BLOCK_CHARS", 150), ("KEPT_CHARS", 300), ("CHUNK_BYTES", 1_000)):
+        monkeypatch.setattr(module, name, value)
+    benchmark = module.Benchmark(table, "item_id", "text", 6)
+    (batch,) = docs.toArrow().combine_chunks().to_batches()
+    found = [(part.column(0)[k].as_py(), hit[0]) for part, hits in benchmark.find(iter([batch]), 1) for k, row in enumerate(hits) for hit in row]
+    assert len(benchmark.blocks) > 4 and sorted(found) == [(d, i) for d, i, *_ in whole] and len(module._BUILT) <= 3
+    assert left == sorted(set(range(40)) - {d for d, *_ in whole})
+
+
 def test_query_against_brute_force(spark):
+    """Myers over whole texts, every document with every item."""
     from stepwise.llm.queries import op9_decontamination
 
     sf_dir = "/root/testdata/sf0.001"
     docs = {r.doc_id: normalise(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r.item_id: normalise(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    exact = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id): r.distance for r in op9_decontamination(spark, sf_dir).collect()}
-    assert exact == {k for k, v in got.items() if v == 0}
-    # Myers over whole texts, for a part of the pairs of this fixture
-    for d in sorted(docs)[:25]:
-        for i in sorted(items)[:12]:
-            distance = best_match(items[i], docs[d])[0]
-            assert got.get((d, i)) == (distance if distance <= budget(items[i]) else None)
+    masks = {i: character_masks(x) for i, x in items.items()}
+    expected = {}
+    for d, text in docs.items():
+        for i, item in items.items():
+            distance = 0 if item in text else best_match(item, text, masks[i])[0]
+            if distance <= budget(item):
+                expected[d, i] = distance
+    assert got == expected
