@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import hub_join, kept
 from .shingles import _SEPARATOR, mix
 
 #: Bytes that the rolling hash looks back on; the width of its words in bits.
@@ -128,18 +128,18 @@ def repeated_spans(
     ``n_chunks``.  The first occurrence of a chunk is in no span by it, so removing all spans keeps one
     copy of everything.  The texts are cut once; the chunks are written to the shared folder.
 
-    Occurrences of a digest are counted before the shuffle, and the join that finds them again is one
-    that Spark can split where a chunk is very frequent.
+    Occurrences of a digest are counted before the shuffle, and the join that finds them again splits
+    chunks that are very frequent.
 
     Cases: null and empty texts have no chunks and shorter texts no spans; exact copies are one span from start to end; rows that repeat with one id
     stand for one document and give their spans once, and rows with a null id are left out; an empty
     table gives an empty result; other columns, whatever their names, are ignored.
     """
     every, _ = kept(chunks(docs, id_col, text_col), "chunks")
-    least = [F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), *([F.min(F.struct("_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")] if within else [])]
-    first = every.groupBy("d1", "d2").agg(*least)
-    first = first.where("times > 1" if within else "first_id < last_id").drop("last_id", "times")
-    again = every.join(first, ["d1", "d2"])
+    least = [F.min("_id").alias("first_id"), F.max("_id").alias("last_id"), F.count(F.lit(1)).alias("n")]
+    first = every.groupBy("d1", "d2").agg(*least, *([F.min(F.struct("_id", "start")).alias("first")] if within else []))
+    first, _ = kept(first.where("n > 1" if within else "first_id < last_id").drop("last_id"), "chunks")
+    again = hub_join(every, first.drop("n"), ["d1", "d2"], ["_id", "start"], first)
     again = again.where((F.col("first._id") != F.col("_id")) | (F.col("first.start") != F.col("start")) if within else F.col("first_id") != F.col("_id"))
     again = again.select("_id", "start", "size", "words", "first_id").dropDuplicates(["_id", "start"])
     by_place = Window.partitionBy("_id").orderBy("start")

@@ -30,25 +30,27 @@ def kept(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
-def hub_join(many: DataFrame, one: DataFrame, on: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def hub_join(many: DataFrame, one: DataFrame, on: str | list[str], spread: str | list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Join ``many`` (cheap to read again) with ``one``, which has a row for each value of ``on``.
 
     Rows of ``many`` with a frequent value are dealt out by the hash of ``spread``, and that value's row of
     ``one`` is repeated for each of their parts.  Frequent is what has more than ``HEAVY`` rows, or so many
-    that at most ``MOST_HUBS`` values can have them, so what is broadcast is bounded.  ``counts``: (on, n).
+    that at most ``MOST_HUBS`` values can have them, so what is broadcast is bounded.  ``counts``: the
+    columns of ``on`` and n, cheap to read again, too.
     """
-    counts = many.groupBy(on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(on, "n")
-    known = counts.where(F.col(on).isNotNull())
+    on, spread = [on] if isinstance(on, str) else on, [spread] if isinstance(spread, str) else spread
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*on, "n")
+    known = counts.dropna(subset=on)
     total, most = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     heavy = max(HEAVY, total // MOST_HUBS)
     if most <= heavy:
         return many.join(one, on, how)
-    hubs = checkpoint(known.where(F.col("n") > heavy).select(on, F.ceil(F.col("n") / heavy).cast("int").alias("_parts")))
+    hubs = checkpoint(known.where(F.col("n") > heavy).select(*on, F.ceil(F.col("n") / heavy).cast("int").alias("_parts")))
     few = F.broadcast(hubs)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    dealt = many.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    dealt = many.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     copies = one.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(copies, [on, "_part"], how).drop("_part")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
 
 
 def prefix_sums(df: DataFrame, part: str, values: dict[str, Column], order: list[Column]) -> DataFrame:

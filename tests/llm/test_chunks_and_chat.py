@@ -55,9 +55,10 @@ def test_repeated_spans(tables):
     assert repeated_spans(docs.limit(0)).collect() == []
 
 
-def test_query_spans_are_repeats(spark):
+def test_query_spans_are_repeats(spark, monkeypatch):
     from stepwise.llm.queries import op4_substring_dedup
 
+    monkeypatch.setattr("stepwise.llm.common.HEAVY", 3)  # so that many chunks count as frequent
     sf_dir = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     seen, cuts = {}, {}
