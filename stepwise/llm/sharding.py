@@ -47,8 +47,9 @@ def assign_shards(
         F.crc32(F.encode(F.col(text_col), "UTF-8")).alias("_crc"),
         *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)],
     )
-    # The texts are read once; what follows works on the checkpoint.  _row parts rows that are alike.
-    rows = checkpoint(rows).withColumn("_row", F.monotonically_increasing_id())
+    # Without anything to carry, the texts are read once and what follows works on the few bytes kept of each; what is
+    # carried moves once, into its range.  _row parts rows that are alike.
+    rows = (rows if carry else checkpoint(rows)).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col(c).asc_nulls_first() for c in ("_id", "_size", "_crc", "_row")]
     rows = checkpoint(
         rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).withColumn("_part", F.spark_partition_id())

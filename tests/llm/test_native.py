@@ -214,9 +214,13 @@ def mix_by_hand(rows, weights, budget, epochs, seed):
         if amount <= 0:
             continue
         full, rest = divmod(amount, supply[path])
-        members = [(hashlib.md5(f"{seed}|{full}|{i}".encode()).hexdigest(), i, n) for i, p, n in rows if p == path]
+        key = lambda i: hashlib.md5("|".join(map(str, [seed, full, *([] if i is None else [i])])).encode()).hexdigest()  # noqa: E731, B023
+        members: dict = {}
+        for i, p, n in rows:  # rows of one id are taken together
+            if p == path:
+                members[i] = members.get(i, 0) + n
         before = 0
-        for _, i, n in sorted(members):
+        for i, n in sorted(members.items(), key=lambda m: key(m[0])):
             before += n
             taken = full + (before <= rest)
             if taken:
