@@ -13,7 +13,7 @@ STEP, SNAP = "_step", "_snap"
 
 @dataclass(frozen=True)
 class State:
-    """A mergeable state: ``kind`` is sum, count, min or max of the SQL expression ``argument``."""
+    """A mergeable state: ``kind`` is sum, count, min, max or distinct (a sketch) of the SQL expression ``argument``."""
 
     name: str
     kind: str
@@ -21,11 +21,11 @@ class State:
 
     def partial(self) -> Column:
         argument = F.lit(1) if self.argument == "*" else F.expr(self.argument)
-        return getattr(F, self.kind)(argument).alias(self.name)
+        return {"distinct": F.hll_sketch_agg}.get(self.kind, getattr(F, self.kind, None))(argument).alias(self.name)
 
     def merge(self) -> Column:
         """The function that merges states; sums and counts ignore nulls, so a step without values adds nothing."""
-        return {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[self.kind](F.col(self.name))
+        return {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "distinct": F.hll_union_agg}[self.kind](F.col(self.name))
 
 
 def merge_states(partial: DataFrame, keys: Sequence[str], states: Sequence[State]) -> DataFrame:

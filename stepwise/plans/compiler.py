@@ -16,7 +16,7 @@ from . import futures
 from .lexer import Token, depths, span, tokenize
 from .statements import Order, Select
 
-AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "PROGRESSIVE_CONFIDENCE")
+AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "APPROX_COUNT_DISTINCT", "PROGRESSIVE_CONFIDENCE")
 META = ("PROGRESSIVE_PARTITION", "PROGRESSIVE_PROGRESS")
 #: Flags of FUTURE predicates in one column.
 FLAG_BITS = 62
@@ -161,6 +161,8 @@ class Plan:
             return scaled(F.col(self.state(item.kind.lower(), item.argument).name), progress)
         if item.kind in ("MIN", "MAX"):
             return F.col(self.state(item.kind.lower(), item.argument).name)
+        if item.kind == "APPROX_COUNT_DISTINCT":  # of what has been seen: it does not grow with the progress
+            return F.coalesce(F.hll_sketch_estimate(self.state("distinct", item.argument).name), F.lit(0))
         bounds = self.catalog.bounds(item.argument, self.tables)
         return half_width(bounds.min, bounds.max, F.col(self.state("count", item.argument).name))
 
@@ -239,7 +241,7 @@ class Plan:
     def _declare(self, item: Item) -> None:
         """Make sure that the states that ``item`` is read from are gathered."""
         if item.kind in AGGREGATES and normal(item.argument).startswith("distinct "):
-            raise ProgressiveError(f"{item.kind}(DISTINCT) cannot be merged over partitions")
+            raise ProgressiveError(f"{item.kind}(DISTINCT) cannot be merged over partitions; approx_count_distinct can")
         if item.kind == "AVG":
             self.state("sum", item.argument)
         if item.kind in ("AVG", "PROGRESSIVE_CONFIDENCE"):
@@ -248,6 +250,8 @@ class Plan:
             self.catalog.bounds(item.argument, self.tables)
         if item.kind in ("SUM", "COUNT", "MIN", "MAX"):
             self.state(item.kind.lower(), item.argument)
+        if item.kind == "APPROX_COUNT_DISTINCT":
+            self.state("distinct", item.argument)
 
 
 def _window_or_nested(tokens: list[Token]) -> None:

@@ -16,6 +16,7 @@ from .operators.snapshots import SNAP, STEP, all_snapshots
 from .operators.steps import partitions_of, step_of
 from .plans.builder import Builder
 from .plans.compiler import Plan, compile_select
+from .plans.lexer import Token, split, tokenize
 from .plans.reader import ViewReader
 from .plans.statements import Analyze, CreateView, DropView, Plain, Prepare, Select, parse
 from .sources.catalog import Catalog
@@ -63,6 +64,10 @@ class Result:
         return stream_snapshots(self.plan, path)
 
 
+#: Rows of a table that may be joined without an equality, which every row of the others then meets.
+MOST_UNLINKED = 1_000_000
+
+
 class ProgressiveSession:
     """Tables, catalog and views on top of a SparkSession.
 
@@ -221,6 +226,7 @@ class ProgressiveSession:
             if ready:
                 counts.append((f"_p{k}", ready.partitions))
             frames.append((not self.catalog.is_fact(source.table), k, df, source.alias or source.table))
+        self._check_products(select, [(df, name) for _, _, df, name in frames])
         # The fact table comes first, so that each join meets a condition in WHERE that links it to the rest.
         frames.sort(key=lambda f: f[:2])
 
@@ -235,3 +241,32 @@ class ProgressiveSession:
             return out.withColumn(STEP, step_of(counts) if step is None else F.lit(step))
 
         return compile_select(select, self.catalog, names, joined, self.catalog.partition_count(names), in_view)
+
+    def _check_products(self, select: Select, frames: list[tuple[DataFrame, str]]) -> None:
+        """Tables that no equality links to the others must be small, but for the largest group of linked ones."""
+        groups = [{k} for k in range(len(frames))]
+        for part in split(tokenize(select.where or ""), "AND"):
+            if any(t.text == "=" for t in part):
+                met = _tables_of(part, frames)
+                joined = [g for g in groups if g & met]
+                groups = [g for g in groups if not g & met] + ([set().union(*joined)] if joined else [])
+        for group in sorted(groups, key=lambda g: (any(self.catalog.is_fact(select.sources[k].table) for k in g), len(g)))[:-1]:
+            for k in group:
+                df, name = frames[k]
+                log.warning("%s is joined without an equality", name)
+                if df.limit(MOST_UNLINKED + 1).count() > MOST_UNLINKED:
+                    raise ProgressiveError(f"{name} has over {MOST_UNLINKED} rows and is joined without an equality")
+
+
+def _tables_of(tokens: list[Token], frames: list[tuple[DataFrame, str]]) -> set[int]:
+    """The tables whose columns an expression names."""
+    out = set()
+    for k, t in enumerate(tokens):
+        if t.kind not in ("word", "quoted"):
+            continue
+        after = k + 1 < len(tokens) and tokens[k + 1].text == "."
+        before = k > 0 and tokens[k - 1].text == "."
+        for n, (df, name) in enumerate(frames):
+            if (after and t.name.lower() == name.lower()) or (not after and not before and t.name.lower() in {c.lower() for c in df.columns}):
+                out.add(n)
+    return out

@@ -46,10 +46,9 @@ class LiveView:
         plan = self.plan
         try:
             while not self.done and not self._stopped:
-                first = self.steps_read
-                whole = self._hurry or first + 1 == plan.steps
-                rows = plan.rows(None).where(f"{STEP} >= {first}") if self._hurry else plan.rows(first)
-                end = plan.steps if whole else first + 1
+                first, hurry = self.steps_read, self._hurry
+                rows = plan.rows(None).where(f"{STEP} >= {first}") if hurry else plan.rows(first)
+                end = plan.steps if hurry else first + 1
                 with self._scan.working(f"view {self.name}: steps {first + 1} to {end} of {plan.steps}"):
                     plan.partial(rows).write.parquet(f"{self._folder}/{first}")
                 with self._changed:

@@ -196,6 +196,12 @@ _spec("prog_distinct_cols", "l_returnflag, l_linestatus FROM li",
       keys={"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}, states={}, shown={"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"})
 _spec("prog_min_max", "min(l_shipdate) AS low, max(l_extendedprice) AS high, l_returnflag FROM li GROUP BY l_returnflag",
       keys=_F, states={"a": ("min", "l_shipdate"), "b": ("max", "l_extendedprice")}, shown={"low": "a", "high": "b", "l_returnflag": "l_returnflag"})
+# few values: the sketch is exact
+SPECS["prog_approx_distinct"] = (
+    "SELECT PROGRESSIVE l_returnflag, approx_count_distinct(l_linenumber) AS lines, approx_count_distinct(CAST(l_tax * 100 AS INT)) AS taxes, progressive_partition() AS part FROM li GROUP BY l_returnflag",
+    f"""WITH {_WITH}, steps AS (SELECT CAST(unnest(range(0, {P})) AS INTEGER) AS snap)
+    SELECT l_returnflag, count(DISTINCT l_linenumber) AS lines, count(DISTINCT l_tax) AS taxes, snap + 1 AS part FROM steps JOIN li ON ({LINE_KEY}) % {P} <= snap GROUP BY snap, l_returnflag""",
+)
 for _n, _w, _dw in [
     ("where", "l_quantity < 24 AND l_discount >= 0.05", ""),
     ("where_in", "l_returnflag IN ('A', 'N') AND l_linenumber NOT IN (1, 2)", ""),

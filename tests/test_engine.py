@@ -127,6 +127,29 @@ def test_grouping_sets(s):
     same(rows(got), expected)
 
 
+def test_approximate_distinct_counts(s):
+    result = s.sql("SELECT PROGRESSIVE city, approx_count_distinct(rider) n, approx_count_distinct(km) k FROM trips GROUP BY city")
+    expected = []
+    for step in range(PARTS):
+        seen = [record(t) for t in TRIPS if t[0] % PARTS <= step]
+        for city in {t["city"] for t in seen}:
+            mine = [t for t in seen if t["city"] == city]
+            expected.append((city, len({t["rider"] for t in mine}), len({t["km"] for t in mine} - {None})))
+    same(rows(result.batch()), expected)
+    same([tuple(r) for x in result.snapshots() for r in x.df.collect()], expected)
+
+
+def test_products_without_a_link_must_be_small(s, spark, monkeypatch):
+    s.register("tariff", spark.range(5).selectExpr("id AS lowest"))
+    s.register("zone", spark.range(3).selectExpr("id AS zone"))
+    text = "SELECT PROGRESSIVE count(*) n FROM trips, tariff, zone WHERE km > lowest AND trip = zone"
+    assert rows(s.sql(text).final()) == [(float(sum(t[2] is not None and t[0] < 3 and t[2] > k for t in TRIPS for k in range(5))),)]
+    monkeypatch.setattr("stepwise.session.MOST_UNLINKED", 4)
+    s.sql(text.replace("km > lowest", "km = lowest"))
+    with pytest.raises(ProgressiveError, match="tariff has over 4 rows"):
+        s.sql(text)
+
+
 def test_output_names(s):
     df = s.batch("select progressive count(*), avg(km) m, progressive_progress(), city from trips group by city")
     assert df.columns == ["COUNT", "m", "PROGRESSIVE_PROGRESS", "city"]
