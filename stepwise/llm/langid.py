@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sample of a language: at most about so many documents, so many letters of each from a place that the id's hash names.
-SAMPLE_DOCS, DOC_CHARS = 96, 1_000
+SAMPLE_DOCS, DOC_CHARS = 96, 500
 #: At most so many languages can be learned; more are an error.
 MAX_LANGUAGES = 64
 #: Letters of a text that are parsed in one go, and blocks that step together.
