@@ -10,7 +10,8 @@ Greedy parsing only ever restarts at the root, so the automaton becomes a transi
 into one array by row displacement.  Texts are parsed whole but not one letter after the other: all
 blocks of all texts are parsed at once as if each began a text.  Then the true state in which the
 parser enters a block is followed until it meets the state assumed there, which takes a few phrases;
-what follows is the same.  A block in which they never meet hands its new end to the next one.
+what follows is the same.  Where they don't meet soon, as in a word said over and over, that text is
+parsed letter by letter until they do.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE_DOCS, DOC_CHARS = 96, 500
 MAX_LANGUAGES = 64
 #: Letters of a text that are parsed in one go, and blocks that step together.
 BLOCK, LANES = 512, 4_096
+#: Letters over which all blocks at once wait for the true and the assumed state to meet.
+PATIENCE = 96
 #: Cost (nats a symbol) above which no language fits, and a text counts as rejected.
 MAX_COST = 6.0
 
@@ -210,36 +213,73 @@ def phrases(model: Model, texts: list[str]) -> np.ndarray:
 
 def _connect(model: Model, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, nth: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
     """Correct ``counts`` and ``ends`` of blocks, parsed as if they began a text, for the states they are entered in."""
-    assumed, assumed_ends = counts.copy(), ends.copy()
-    changed = np.ones(ends.shape, dtype=bool)  # whose end the next block hasn't seen
-    while True:
-        lang, block = np.nonzero(changed[:, :-1] & (nth[1:] > 0))
-        if not len(lang):
-            return
-        changed[:] = False
-        block = block + 1
-        roots = model.starts[lang]
-        true, other = ends[lang, block - 1], roots.copy()
-        delta = np.zeros(len(lang), dtype=np.int64)
-        live = np.flatnonzero(true != other)
-        settled = np.ones(len(lang), dtype=bool)
-        for t in range(BLOCK):
-            live = live[(length[block[live]] > t)]
-            if not len(live):
+    later = np.flatnonzero(nth > 0)
+    lang, block = np.repeat(np.arange(len(ends)), len(later)), np.tile(later, len(ends))
+    roots = model.starts[lang]
+    true, other = ends[lang, block - 1], roots.copy()
+    delta = np.zeros(len(lang), dtype=np.int64)
+    live = np.flatnonzero(true != other)
+    for t in range(PATIENCE):
+        live = live[length[block[live]] > t]
+        if not len(live):
+            break
+        symbol = symbols[begin[block[live]] + t]
+        true[live], more = _step(model, roots[live], true[live], symbol)
+        other[live], less = _step(model, roots[live], other[live], symbol)
+        delta[live] += more - less
+        live = live[true[live] != other[live]]
+    assumed = counts.copy()
+    counts[lang, block] += delta
+    apart = np.flatnonzero(true != other)
+    if not len(apart):
+        return
+    tables = [memoryview(np.ascontiguousarray(x)) for x in (model.base, model.owner, model.target)]
+    at_hand = {(int(lang[k]), int(block[k])): (int(true[k]), int(other[k])) for k in apart}
+    for n, b in sorted(at_hand):
+        root, place = int(model.starts[n]), PATIENCE
+        state = at_hand.get((n, b))
+        while state is not None:  # of a block, and of those after it while the states don't meet
+            at_hand[n, b] = None
+            text = symbols[begin[b] + place : begin[b] + length[b]].tolist()
+            one, two, more = _follow(*tables, root, *state, text)
+            counts[n, b] = (counts[n, b] if place else assumed[n, b]) + more
+            if one == two:
+                break
+            ends[n, b] = one
+            b += 1
+            if b == len(nth) or not nth[b]:
                 break
-            symbol = symbols[begin[block[live]] + t]
-            true[live], more = _step(model, roots[live], true[live], symbol)
-            other[live], less = _step(model, roots[live], other[live], symbol)
-            delta[live] += more - less
-            apart = true[live] != other[live]
-            # a block that ends before the two have met has another end than assumed
-            over = apart & (length[block[live]] == t + 1)
-            settled[live[over]] = False
-            live = live[apart & ~over]
-        counts[lang, block] = assumed[lang, block] + delta
-        end = np.where(settled, assumed_ends[lang, block], true)
-        changed[lang, block] = end != ends[lang, block]
-        ends[lang, block] = end
+            # entered in another state than was assumed above
+            place, state = 0, (one, root)
+
+
+def _follow(base: memoryview, owner: memoryview, target: memoryview, root: int, one: int, two: int, text: list[int]) -> tuple[int, int, int]:
+    """The states of two parsers where they meet, or at the end of ``text``, and how many phrases more the first one ends."""
+    more = 0
+    for c in text:
+        at = base[one] + c
+        if owner[at] == one:
+            one = target[at]
+        else:
+            more += one != root
+            at = base[root] + c
+            if owner[at] == root:
+                one = target[at]
+            else:
+                more, one = more + 1, root
+        at = base[two] + c
+        if owner[at] == two:
+            two = target[at]
+        else:
+            more -= two != root
+            at = base[root] + c
+            if owner[at] == root:
+                two = target[at]
+            else:
+                more, two = more - 1, root
+        if one == two:
+            break
+    return one, two, more
 
 
 def phrase_costs(model: Model, texts: list[str]) -> np.ndarray:

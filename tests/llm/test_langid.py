@@ -34,6 +34,7 @@ def check(samples, texts):
 @pytest.mark.parametrize("block", [3, 7, 512])
 def test_phrases_equal_greedy_parsing_of_whole_texts(monkeypatch, block):
     monkeypatch.setattr("stepwise.llm.langid.BLOCK", block)
+    monkeypatch.setattr("stepwise.llm.langid.PATIENCE", min(5, block))
     samples = {lang: normalise(text(lang, 1, 80)) for lang in SYLLABLES} | {"dd": "aaaaaaaaab", "ee": "𐌰𐌱𐌲 𐌰𐌳"}
     texts = [normalise(text(lang, k, 20 + 30 * k)) for lang in SYLLABLES for k in range(2, 5)]
     # texts on which parsers that begin apart never meet, unknown letters, letters beyond the first plane
