@@ -162,7 +162,17 @@ def test_sets_that_share_a_key(tables, monkeypatch):
     import stepwise.llm.ngram_join as module
 
     whole = module.digest
-    monkeypatch.setattr(module, "digest", lambda items: (whole(items)[0] % 8, whole(items)[1]))
+
+    def few(items):
+        return whole(items)[0] % 8, whole(items)[1]
+
+    def key(items, clashes):
+        one, other = few(items)
+        return one ^ other if one in clashes else one
+
+    # both go to the workers by value
+    monkeypatch.setattr(module, "digest", few)
+    monkeypatch.setattr(module, "_key", key)
     texts = corpus(8, families=4, size=5)
     docs = tables(texts, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, 4, (85, 100)).collect()}
