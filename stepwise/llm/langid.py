@@ -57,16 +57,22 @@ class Model:
     costs: np.ndarray
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def _not_letters() -> re.Pattern:
-    """Runs of characters that are no letters (Unicode category L)."""
-    digits = [chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
-    return re.compile("[\\W_" + "".join(digits) + "]+")
+def _numerals() -> tuple[frozenset[str], dict[int, str]]:
+    """Characters that count as word characters but are no letters (Unicode category L), and blanks for them."""
+    found = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    return frozenset(map(chr, found)), dict.fromkeys(found, " ")
 
 
 def normalise(text: str) -> str:
     """Lower case, with every run of characters that are not letters as one space."""
-    return _not_letters().sub(" ", text.lower()).strip(" ")
+    text = text.lower()
+    if not text.isascii() and not _numerals()[0].isdisjoint(text):
+        text = text.translate(_numerals()[1])
+    return _NOT_LETTERS.sub(" ", text).strip(" ")
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
