@@ -31,7 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (5 words, 0.8): that with the smallest id.
 
-    Rows of one id are told apart by their texts; of rows with one id and text one stays.  A document
+    Rows of one id are told apart by their texts; of rows with one id and text the
+    one whose columns sort first stays.  A document
     without an id stays if no other one is like it; of several the one with the smallest hash of its text.
     """
     groups = similar_groups(docs, words=5, similarity=(80, 100))
@@ -40,8 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(*COLUMNS)
     rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_of"]) & (F.xxhash64("text") == chosen["text_hash"]))
     # texts are shuffled again only where rows repeat
-    again = rows.where("_rows > 1").dropDuplicates(["_of", "text_hash"])
-    return rows.where("_rows = 1").unionByName(again).select(*COLUMNS)
+    again = rows.where("_rows > 1").groupBy("_of", "text_hash").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    return rows.where("_rows = 1").select(*COLUMNS).unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
