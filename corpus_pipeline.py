@@ -31,9 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (5 words, 0.8): that with the smallest id.
 
-    Rows of one id are told apart by their texts; of rows with one id and text the
-    one whose columns sort first stays.  A document
-    without an id stays if no other one is like it; of several the one with the smallest hash of its text.
+    Rows of one id are told apart by their texts; of rows with one id and text the one whose columns sort
+    first stays.  A document without an id stays if no other one is like it; of several the one with the
+    smallest hash of its text.
     """
     groups = similar_groups(docs, words=5, similarity=(80, 100))
     chosen = groups.where("leads").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
